@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .repeats import repeat_report
 from .sketch_join import sketch_join
 
 
@@ -17,8 +18,13 @@ def op1_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_join(_table(spark, sf_dir, "documents"))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sketch_join": op1_sketch_join,
+    "op2_repeats": op2_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -47,5 +53,30 @@ WITH RECURSIVE worded AS (
   SELECT r.node, e.b FROM reach r JOIN edge e ON e.a = r.seen
 )
 SELECT s.doc_id, s.n_shingles, min(r.seen) AS component_id FROM sized s JOIN reach r ON r.node = s.doc_id GROUP BY 1, 2
+""",
+    "op2_repeats": r"""
+WITH bytes AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), windows AS (
+  SELECT doc_id, i, x[2 * i + 1 : 2 * i + 800] AS s FROM (SELECT doc_id, x, unnest(range(0, greatest(0, len(x) // 2 - 399))) AS i FROM bytes)
+), twice AS (
+  SELECT hash(s) AS h FROM windows GROUP BY 1 HAVING count(*) > 1
+), hits AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM windows WHERE hash(s) IN (SELECT h FROM twice)
+), numbered AS (
+  SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits
+), spans AS (
+  SELECT doc_id, run, min(i) AS lo, max(i) + 400 AS hi FROM numbered GROUP BY 1, 2
+), gaps AS (
+  SELECT doc_id, coalesce(lag(hi) OVER w, 0) AS lo, lo AS hi FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY lo)
+  UNION ALL SELECT s.doc_id, max(s.hi), any_value(len(b.x) // 2) FROM spans s JOIN bytes b USING (doc_id) GROUP BY 1
+), kept AS (
+  SELECT g.doc_id, string_agg(b.x[2 * g.lo + 1 : 2 * g.hi], '' ORDER BY g.lo) AS x FROM gaps g JOIN bytes b USING (doc_id) GROUP BY 1
+), removed AS (
+  SELECT doc_id, sum(hi - lo) AS n, count(*) AS k FROM spans GROUP BY 1
+)
+SELECT b.doc_id, CAST(len(b.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(r.k, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(k.x, b.x))) AS kept_sha256
+FROM bytes b LEFT JOIN removed r USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """,
 }

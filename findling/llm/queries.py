@@ -6,10 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_report
+from .packing import pack_documents
 from .repeats import repeat_report
 from .sketch_join import sketch_join
 
 
+#: The vocabulary files' folder; a parameter of the operators, never copied here.
+BYTE_BPE = "byte_bpe_50k.json"
+
+
+def _vocabulary(name: str = BYTE_BPE) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,9 +34,19 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(_table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary())
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_report(_table(spark, sf_dir, "documents"), _vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sketch_join": op1_sketch_join,
     "op2_repeats": op2_repeats,
+    "op4_packing": op4_packing,
+    "op6_bpe": op6_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -11,7 +11,7 @@ pieces exactly if their bits are (up to 64-bit hash collisions). The order puts
 sketches share (counted over all sketches in 65,536 hashed counters) and pieces without a set bit last, so
 that passages which very many documents contain cause few candidates.
 
-1. one pass counts the pieces; 2. a second pass emits the first ``D + 1`` of every sketch, packed in
+1. one pass measures the sets and counts the pieces; 2. a second pass emits the first ``D + 1`` of every sketch, packed in
 binary blocks for ranges of piece hashes; 3. each range finds the pieces that several different sets share.
 A small group gives all its pairs, a larger one the pairs of its least member with all others; 4. pairs
 that the sizes and a short sketch (2,048 bits) don't rule out are verified on the whole texts; 5. verified
@@ -123,17 +123,31 @@ def set_id(hashes: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
 
 
-def _count(batches):
+def _measure(batches):
+    """One row for each document, and the counters of the pieces that this task saw."""
     seen = np.zeros(COUNTERS, np.int64)
-    for _, raw, at in K.steps(batches):
-        got = [pieces(h, c, count) >> _U(48) for h in shingle_hashes(raw, at) for c, count, _ in bands(len(h)) if len(h)]
+    names = ["doc_id", "n_shingles", "set_id", "sketch", "counter", "n"]
+    for batch, raw, at in K.steps(batches):
+        sets = shingle_hashes(raw, at)
+        got = [pieces(h, c, count) >> _U(48) for h in sets for c, count, _ in bands(len(h)) if len(h)]
         if got:
             seen += np.bincount(np.concatenate(got).astype(np.int64), minlength=COUNTERS)
+        columns = [
+            batch.column(batch.schema.get_field_index("doc_id")),
+            pa.array([len(h) for h in sets], pa.int64()),
+            pa.array([set_id(h) if len(h) else None for h in sets], pa.int64()),
+            pa.array([short_sketch(h) if len(h) else None for h in sets], pa.binary()),
+            pa.nulls(len(sets), pa.int32()),
+            pa.nulls(len(sets), pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names)
     at = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["counter", "n"])
+    none = [pa.nulls(len(at), kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+    yield pa.RecordBatch.from_arrays([*none, pa.array(at, pa.int32()), pa.array(seen[at])], names)
 
 
 def _emit(rank: np.ndarray, ranges: int):
+    """Blocks of the first pieces and their sets, one for each range of piece hashes at a time."""
     width = -(-(1 << 64) // ranges)
 
     def run(batches):
@@ -147,39 +161,16 @@ def _emit(rank: np.ndarray, ranges: int):
             cut = np.searchsorted(sig, np.array([min(k * width, (1 << 64) - 1) for k in range(1, ranges)], _U))
             edge = np.concatenate(([0], cut, [len(sig)]))
             own = [k for k in range(ranges) if edge[k] < edge[k + 1]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.nulls(len(own), pa.int64()),
-                    pa.nulls(len(own), pa.int64()),
-                    pa.nulls(len(own), pa.int64()),
-                    pa.nulls(len(own), pa.binary()),
-                    pa.array(own, pa.int32()),
-                    pa.array([sig[edge[k] : edge[k + 1]].tobytes() + sid[edge[k] : edge[k + 1]].tobytes() for k in own], pa.binary()),
-                ],
-                ["doc_id", "n_shingles", "set_id", "sketch", "range", "block"],
-            )
-
-        for batch, raw, at in K.steps(batches):
-            sets = shingle_hashes(raw, at)
-            ids = [set_id(h) if len(h) else None for h in sets]
-            n = len(sets)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(batch.schema.get_field_index("doc_id")).cast(pa.int64()),
-                    pa.array([len(h) for h in sets], pa.int64()),
-                    pa.array(ids, pa.int64()),
-                    pa.array([short_sketch(h) if len(h) else None for h in sets], pa.binary()),
-                    pa.nulls(n, pa.int32()),
-                    pa.nulls(n, pa.binary()),
-                ],
-                ["doc_id", "n_shingles", "set_id", "sketch", "range", "block"],
-            )
-            for h, i in zip(sets, ids, strict=True):
+            blocks = [sig[edge[k] : edge[k + 1]].tobytes() + sid[edge[k] : edge[k + 1]].tobytes() for k in own]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(blocks, pa.binary())], ["range", "block"])
+
+        for _, raw, at in K.steps(batches):
+            for h in shingle_hashes(raw, at):
                 for c, count, emit in bands(len(h)) if len(h) else ():
                     sig = first_pieces(h, c, count, emit, rank)
-                    held.append((sig, np.full(len(sig), i, np.int64)))
+                    held.append((sig, np.full(len(sig), set_id(h), np.int64)))
                     size += len(sig)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield from flush()
                 held, size = [], 0
         if held:
@@ -284,17 +275,17 @@ def sketch_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     spark = docs.sparkSession
     space = Workspace(spark, "sketch-join")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    counted = docs.select("text").mapInArrow(_count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    kind = "doc_id long, n_shingles long, set_id long, sketch binary, counter int, n long"
+    measured = space.save(docs.mapInArrow(_measure, kind), "measured")
+    rows = measured.where("counter is null").select("doc_id", "n_shingles", "set_id", "sketch")
     count = np.zeros(COUNTERS)
-    for row in counted.toLocalIterator():  # at most COUNTERS rows, whatever the input
-        count[row.counter] = row.n
+    for row in measured.where("counter is not null").groupBy("counter").agg(F.sum("n").alias("n")).toLocalIterator():
+        count[row.counter] = row.n  # at most COUNTERS rows, whatever the input
     rank = np.round(8 * np.log2(count + 1)).astype(np.uint16)
 
-    ranges = spread(docs, 16 << 20)
-    kind = "doc_id long, n_shingles long, set_id long, sketch binary, range int, block binary"
-    emitted = space.save(docs.mapInArrow(_emit(rank, ranges), kind).withColumn("is_block", F.col("block").isNotNull()), "emitted", ["is_block"])
-    rows = emitted.where("not is_block")
-    found = space.save(emitted.where("is_block").select("range", "block").groupBy("range").applyInArrow(_groups, "a long, b long, members binary"), "found")
+    ranges = spread(docs, 6 << 20)
+    blocks = docs.select("text").mapInArrow(_emit(rank, ranges), "range int, block binary")
+    found = space.save(blocks.groupBy("range").applyInArrow(_groups, "a long, b long, members binary"), "found")
     sets = space.save(
         rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")),
         "sets",

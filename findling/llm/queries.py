@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses
 from .bpe import bpe_report
+from .merkle import fingerprint_report
 from .packing import pack_documents
 from .repeats import repeat_report
 from .sketch_join import sketch_join
+from .token_scan import token_report
+from .warc import warc_report
 
 
 #: The vocabulary files' folder; a parameter of the operators, never copied here.
@@ -38,15 +42,35 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_report(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_report(_table(spark, sf_dir, "pages"))
+
+
+def op10_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_report(_table(spark, sf_dir, "documents"), _vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sketch_join": op1_sketch_join,
     "op2_repeats": op2_repeats,
     "op4_packing": op4_packing,
+    "op5_merkle": op5_merkle,
     "op6_bpe": op6_bpe,
+    "op8_licenses": op8_licenses,
+    "op9_warc": op9_warc,
+    "op10_token_scan": op10_token_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -101,4 +125,5 @@ SELECT b.doc_id, CAST(len(b.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r.n, 0)
        sha256(unhex(coalesce(k.x, b.x))) AS kept_sha256
 FROM bytes b LEFT JOIN removed r USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """,
+    "op8_licenses": licenses.oracle(),
 }

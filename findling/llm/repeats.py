@@ -247,6 +247,7 @@ def repeated_spans(docs: DataFrame, space: Workspace, width: int = WIDTH) -> Dat
     """Rows ``(rk, spans)``: the byte spans to remove of each row key with any. ``docs`` has (rk, text)."""
     stretch = space.save(docs.where(F.octet_length("text") >= width).select("rk", "text").mapInArrow(_stretches(width), "rk long, place long, h long, c long"), "stretches")
     grams = stretch.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("n > 1").select("h", F.expr("lo <> hi").alias("mixed"))
+    grams = space.save(grams, "grams")  # a plain table on both sides of the join lets Spark split hot grams
     twice = space.save(stretch.join(grams, "h"), "twice")
     space.drop("stretches")
     contents = twice.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("rk", "place")).alias("rep"), F.first("mixed").alias("mixed"))

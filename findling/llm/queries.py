@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import licenses
 from .bpe import bpe_report
+from .crf import language_report
 from .merkle import fingerprint_report
 from .packing import pack_documents
+from .quality import quality_report
 from .repeats import repeat_report
 from .sketch_join import sketch_join
 from .token_scan import token_report
@@ -38,6 +40,10 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeat_report(_table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(_table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary())
 
@@ -50,6 +56,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_report(_table(spark, sf_dir, "documents"), _vocabulary())
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents"))
 
@@ -65,9 +75,11 @@ def op10_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sketch_join": op1_sketch_join,
     "op2_repeats": op2_repeats,
+    "op3_quality": op3_quality,
     "op4_packing": op4_packing,
     "op5_merkle": op5_merkle,
     "op6_bpe": op6_bpe,
+    "op7_language": op7_language,
     "op8_licenses": op8_licenses,
     "op9_warc": op9_warc,
     "op10_token_scan": op10_token_scan,

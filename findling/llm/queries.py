@@ -22,7 +22,7 @@ from .warc import warc_report
 BYTE_BPE = "byte_bpe_50k.json"
 
 
-def _vocabulary(name: str = BYTE_BPE) -> str:
+def vocabulary(name: str = BYTE_BPE) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -45,7 +45,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_table(spark, sf_dir, "documents"), _vocabulary())
+    return pack_documents(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op5_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_report(_table(spark, sf_dir, "documents"), _vocabulary())
+    return bpe_report(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_report(_table(spark, sf_dir, "documents"), _vocabulary())
+    return token_report(_table(spark, sf_dir, "documents"), vocabulary())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -8,14 +8,14 @@ smaller set; the sketches of a band are cut into more pieces than ``D``, so (pig
 exist, and among the pieces of each sketch, in an order common to all, two of the first ``D + 1`` coincide.
 A piece is 65,536 bits wide and is kept as the XOR of a code for each set bit, which is the same for two
 pieces exactly if their bits are (up to 64-bit hash collisions). The order puts the pieces first that few
-sketches share (counted over all sketches in 65,536 hashed counters) and pieces without a set bit last, so
+sketches share (counted over all sketches in ``COUNTERS`` hashed counters) and pieces without a set bit last, so
 that passages which very many documents contain cause few candidates.
 
 1. one pass measures the sets and counts the pieces; 2. a second pass emits the first ``D + 1`` of every sketch, packed in
 binary blocks for ranges of piece hashes; 3. each range finds the pieces that several different sets share.
 A small group gives all its pairs, a larger one the pairs of its least member with all others; 4. pairs
-that the sizes and a short sketch (2,048 bits) don't rule out are verified on the whole texts; 5. verified
-links form components; 6. only groups that still hold several components are compared further, pair by
+that the sizes and a short sketch (four bits a shingle) don't rule out are verified on the whole texts, for each set its nearest partner first and then the pairs that
+still join two components; 5. verified links form components; 6. only groups that still hold several components are compared further, pair by
 pair across components through the short sketches, and what passes is verified as before. No link is lost:
 inside one component a further link changes nothing. Equal sets are one set from step 2 on.
 
@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.taskcontext import TaskContext
 
 from . import _kernel as K
 from ._shared import Workspace, components, spread
@@ -37,12 +38,16 @@ from ._shared import Workspace, components, spread
 #: Words in a shingle, and the similarity (numerator over 100) from which two sets link.
 SHINGLE_WORDS = 5
 MIN_SIMILARITY = 75
-#: Hashed counters that order the pieces, the bits of the short sketch, and the size up to which a group gives all pairs.
-COUNTERS = 1 << 16
-SKETCH_BITS = 2048
+#: Hashed counters that order the pieces, in chunks that travel together; tasks whose counts are summed at a time.
+COUNTERS = 1 << 22
+CHUNKS = 64
+FAN_IN = 64
+#: Least and most bits of a short sketch (about four for each shingle), and the size up to which a group gives all pairs.
+SKETCH_BITS = (256, 1 << 16)
 ALL_PAIRS = 6
 
 _U = np.uint64
+_SHIFT = _U(64 - 22)  # the top bits of a signature are its counter
 _STEP = (np.arange(1, 64, dtype=np.uint64) * _U(0xD6E8FEB86659FD93)) | _U(1)
 
 
@@ -105,7 +110,7 @@ def first_pieces(hashes: np.ndarray, band: int, count: int, emit: int, rank: np.
     """The first ``emit`` signatures in the common order: rarely counted, then by hash, pieces of zeros last."""
     own = pieces(hashes, band, count)
     if len(own) > emit:
-        order = np.lexsort((own, rank[(own >> _U(48)).astype(np.int64)]))
+        order = np.lexsort((own, rank[(own >> _SHIFT).astype(np.int64)]))
         own = own[order[:emit]]
     elif len(own) < emit:  # very rare: odd bits that cancelled
         piece = np.unique(((hashes >> _U(32)) * _U(count)) >> _U(32))
@@ -115,8 +120,18 @@ def first_pieces(hashes: np.ndarray, band: int, count: int, emit: int, rank: np.
 
 
 def short_sketch(hashes: np.ndarray) -> bytes:
-    bits = np.bincount((hashes % _U(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """A parity sketch of a power of two of bits; a longer one folds to a shorter one by XOR of its halves."""
+    bits = min(max(SKETCH_BITS[0], 1 << (4 * len(hashes) - 1).bit_length()), SKETCH_BITS[1])
+    odd = np.bincount((hashes & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def fold(sketch: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (rows of words) brought down to ``size`` words."""
+    while sketch.shape[-1] > size:
+        half = sketch.shape[-1] // 2
+        sketch = sketch[..., :half] ^ sketch[..., half:]
+    return sketch
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -125,32 +140,44 @@ def set_id(hashes: np.ndarray) -> int:
 
 def _measure(batches):
     """One row for each document, and the counters of the pieces that this task saw."""
-    seen = np.zeros(COUNTERS, np.int64)
-    names = ["doc_id", "n_shingles", "set_id", "sketch", "counter", "n"]
+    seen = np.zeros(COUNTERS, np.int32)
+    names = ["doc_id", "n_shingles", "set_id", "sketch", "task", "chunk", "counts"]
     for batch, raw, at in K.steps(batches):
         sets = shingle_hashes(raw, at)
-        got = [pieces(h, c, count) >> _U(48) for h in sets for c, count, _ in bands(len(h)) if len(h)]
+        got = [pieces(h, c, count) >> _SHIFT for h in sets for c, count, _ in bands(len(h)) if len(h)]
         if got:
-            seen += np.bincount(np.concatenate(got).astype(np.int64), minlength=COUNTERS)
+            at_, n = np.unique(np.concatenate(got), return_counts=True)
+            seen[at_.astype(np.int64)] += n.astype(np.int32)
         columns = [
             batch.column(batch.schema.get_field_index("doc_id")),
             pa.array([len(h) for h in sets], pa.int64()),
             pa.array([set_id(h) if len(h) else None for h in sets], pa.int64()),
             pa.array([short_sketch(h) if len(h) else None for h in sets], pa.binary()),
-            pa.nulls(len(sets), pa.int32()),
-            pa.nulls(len(sets), pa.int64()),
+            *(pa.nulls(len(sets), kind) for kind in (pa.int64(), pa.int32(), pa.binary())),
         ]
         yield pa.RecordBatch.from_arrays(columns, names)
-    at = np.flatnonzero(seen)
-    none = [pa.nulls(len(at), kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-    yield pa.RecordBatch.from_arrays([*none, pa.array(at, pa.int32()), pa.array(seen[at])], names)
+    none = [pa.nulls(CHUNKS, kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+    chunks = [np.minimum(x, 65535).astype(np.uint16).tobytes() for x in np.split(seen, CHUNKS)]
+    task = pa.array([TaskContext.get().partitionId()] * CHUNKS, pa.int64())
+    yield pa.RecordBatch.from_arrays([*none, task, pa.array(range(CHUNKS), pa.int32()), pa.array(chunks, pa.binary())], names)
+
+
+def _add(keys, table):
+    """Sums the counters of one chunk over some tasks."""
+    kind = np.uint16
+    total = np.zeros(COUNTERS // CHUNKS, np.int64)
+    for x in table.column("counts"):
+        total += np.frombuffer(x.as_buffer(), kind)
+    # The order needs no more than the logarithm, so sums saturate rather than widen.
+    return pa.table({"task": pa.array([keys[1].as_py()], pa.int64()), "chunk": pa.array([keys[0].as_py()], pa.int32()), "counts": pa.array([np.minimum(total, 65535).astype(kind).tobytes()], pa.binary())})
 
 
-def _emit(rank: np.ndarray, ranges: int):
+def _emit(sent, ranges: int):
     """Blocks of the first pieces and their sets, one for each range of piece hashes at a time."""
     width = -(-(1 << 64) // ranges)
 
     def run(batches):
+        rank = sent.value
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -227,30 +254,48 @@ def _spell_out(batches):
 
 
 def _across(keys, table):
-    """Pairs of one group across components that sizes and short sketches allow, in blocks of rows."""
+    """Pairs of one group across components that sizes and short sketches allow."""
     sid, comp, n = (table.column(c).to_numpy() for c in ("set_id", "component", "n"))
-    bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(sid), -1)
+    own = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("sketch").combine_chunks()]
+    width = np.array([len(x) for x in own])
+    folded = {}
+    for k in np.unique(width).tolist():
+        at = np.flatnonzero(width >= k)
+        row = np.full(len(own), -1)
+        row[at] = np.arange(len(at))
+        folded[k] = (row, np.stack([fold(own[i], k) for i in at.tolist()]))
     a, b = [], []
     for i in range(len(sid) - 1):
         rest = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
         least, most = np.minimum(n[rest], n[i]), np.maximum(n[rest], n[i])
         rest = rest[least * 100 >= most * MIN_SIMILARITY]
-        far = np.bitwise_count(bits[rest] ^ bits[i]).sum(1)
-        rest = rest[far <= np.minimum(n[rest], n[i]) * (100 - MIN_SIMILARITY) // MIN_SIMILARITY]
-        a.append(np.full(len(rest), sid[i]))
-        b.append(sid[rest])
+        common = np.minimum(width[rest], width[i])
+        for k in np.unique(common).tolist():
+            at = rest[common == k]
+            row, bits = folded[k]
+            far = np.bitwise_count(bits[row[at]] ^ bits[row[i]]).sum(1)
+            at = at[far <= np.minimum(n[at], n[i]) * (100 - MIN_SIMILARITY) // MIN_SIMILARITY]
+            a.append(np.full(len(at), sid[i]))
+            b.append(sid[at])
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
     return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
 def _near(batches):
-    """Keeps the candidate pairs that sizes and short sketches allow."""
+    """Keeps the candidate pairs that sizes and short sketches allow, with the sketches' distance."""
     for batch in batches:
-        n_a, n_b = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("n_a", "n_b"))
-        x, y = (np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(c)).to_pylist()), np.uint64).reshape(len(n_a), -1) for c in ("sketch_a", "sketch_b"))
+        col = lambda c, batch=batch: batch.column(batch.schema.get_field_index(c))
+        n_a, n_b = col("n_a").to_numpy(), col("n_b").to_numpy()
         least, most = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
-        ok = (least * 100 >= most * MIN_SIMILARITY) & (np.bitwise_count(x ^ y).sum(1) <= least * (100 - MIN_SIMILARITY) // MIN_SIMILARITY)
-        yield batch.filter(pa.array(ok)).select(["a", "b", "doc_a", "doc_b"])
+        ok = least * 100 >= most * MIN_SIMILARITY
+        far = np.zeros(len(ok), np.int64)
+        x, y = col("sketch_a"), col("sketch_b")
+        for i in np.flatnonzero(ok).tolist():
+            p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
+            size = min(len(p), len(q))
+            far[i] = int(np.bitwise_count(fold(p, size) ^ fold(q, size)).sum())
+        ok &= far <= least * (100 - MIN_SIMILARITY) // MIN_SIMILARITY
+        yield batch.select(["a", "b", "doc_a", "doc_b"]).append_column("far", pa.array(far)).filter(pa.array(ok))
 
 
 def _verify(batches):
@@ -275,13 +320,19 @@ def sketch_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     spark = docs.sparkSession
     space = Workspace(spark, "sketch-join")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = "doc_id long, n_shingles long, set_id long, sketch binary, counter int, n long"
+    kind = "doc_id long, n_shingles long, set_id long, sketch binary, task long, chunk int, counts binary"
     measured = space.save(docs.mapInArrow(_measure, kind), "measured")
-    rows = measured.where("counter is null").select("doc_id", "n_shingles", "set_id", "sketch")
-    count = np.zeros(COUNTERS)
-    for row in measured.where("counter is not null").groupBy("counter").agg(F.sum("n").alias("n")).toLocalIterator():
-        count[row.counter] = row.n  # at most COUNTERS rows, whatever the input
-    rank = np.round(8 * np.log2(count + 1)).astype(np.uint16)
+    rows = measured.where("chunk is null").select("doc_id", "n_shingles", "set_id", "sketch")
+    counts = measured.where("chunk is not null").select("task", "chunk", "counts")
+    tasks = docs.rdd.getNumPartitions()
+    while True:
+        tasks = -(-tasks // FAN_IN)
+        counts = counts.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("chunk", "task").applyInArrow(_add, "task long, chunk int, counts binary")
+        if tasks == 1:
+            break
+    merged = {r["chunk"]: np.frombuffer(r["counts"], np.uint16) for r in counts.collect()}  # CHUNKS rows, whatever the input
+    count = np.concatenate([merged.get(c, np.zeros(COUNTERS // CHUNKS, np.uint16)) for c in range(CHUNKS)])
+    rank = spark.sparkContext.broadcast(np.round(8 * np.log2(count + 1.0)).astype(np.uint8))  # COUNTERS bytes
 
     ranges = spread(docs, 6 << 20)
     blocks = docs.select("text").mapInArrow(_emit(rank, ranges), "range int, block binary")
@@ -291,17 +342,36 @@ def sketch_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         "sets",
     )
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def near(pairs: DataFrame, name: str) -> DataFrame:
         left = sets.select(F.col("set_id").alias("a"), F.col("doc").alias("doc_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
         right = sets.select(F.col("set_id").alias("b"), F.col("doc").alias("doc_b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-        near = space.save(pairs.join(right, "b").join(left, "a").mapInArrow(_near, "a long, b long, doc_a long, doc_b long"), f"{name}-near")
+        return space.save(pairs.join(right, "b").join(left, "a").mapInArrow(_near, "a long, b long, doc_a long, doc_b long, far long"), name)
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
         texts = docs.where("text is not null")
-        one = near.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
+        one = pairs.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
         two = one.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
-        return space.save(two.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), f"{name}-links")
-
-    links = verified(found.where("a is not null").select("a", "b").distinct(), "first")
-    label = components(space, links, "first")
+        return space.save(two.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), name)
+
+    def linked(pairs: DataFrame, links: DataFrame | None, label: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame]:
+        """Verifies candidate pairs: first the nearest partner of each set, then what still joins components."""
+        nearest = space.save(pairs.groupBy("b").agg(F.min(F.struct("far", "a", "doc_a", "doc_b")).alias("best")).select("best.a", "b", "best.doc_a", "best.doc_b"), f"{name}-nearest")
+        for turn, some in enumerate((nearest, pairs.select("a", "b", "doc_a", "doc_b").join(nearest, ["a", "b"], "left_anti"))):
+            if label is not None:
+                of = lambda side, label=label: label.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+                some = some.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).drop("of_a", "of_b")
+            some = space.save(some, f"{name}-{turn}")
+            if some.isEmpty():
+                continue
+            more = verified(some, f"{name}-links-{turn}")
+            links = more if links is None else links.union(more)
+            label = components(space, links, f"{name}-{turn}")
+        return links, label
+
+    pairs = near(found.where("a is not null").select("a", "b").distinct(), "near")
+    links, label = linked(pairs, None, None, "first")
+    if label is None:  # no candidates at all
+        links, label = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, component long")
     grouped = found.where("members is not null").select("members").distinct().mapInArrow(_spell_out, "grp long, set_id long")
     if not grouped.isEmpty():
         known = grouped.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").select("grp", "set_id", F.coalesce("component", "set_id").alias("component"))
@@ -311,8 +381,7 @@ def sketch_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         more = left.groupBy("grp").applyInArrow(_across, "a long, b long").distinct()
         more = space.save(more, "across")
         if not more.isEmpty():
-            links = links.union(verified(more.join(links, ["a", "b"], "left_anti"), "second"))
-            label = components(space, links, "second")
+            links, label = linked(near(more.join(pairs, ["a", "b"], "left_anti"), "near-across"), links, label, "second")
     of_set = sets.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc", F.coalesce("component", "set_id").alias("component"))
     least = of_set.groupBy("component").agg(F.min("doc").alias("component_id"))
     named = of_set.join(least, "component").select("set_id", "component_id")

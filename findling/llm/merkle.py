@@ -89,12 +89,12 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     follow = ordered(ids, "k").select("k", "n", "following")
     first = ids.agg(F.min("k").alias("first"))  # one row
     sent = space.save(follow.crossJoin(F.broadcast(first)).select(F.coalesce("following", "first").alias("target"), F.col("k").alias("prev"), "n"), "next")
-    received = base.join(sent, base.k == sent.target).withColumn("_h", F.xxhash64("text"))
+    received = base.join(sent.hint("merge"), base.k == sent.target).withColumn("_h", F.xxhash64("text"))
     chosen = received.withColumn("_r", F.row_number().over(Window.partitionBy("k").orderBy("_h", "text", "doc_id"))).where("_r = 1")  # all columns of base, so that both joins share its exchange
     head = chosen.select(F.col("prev").alias("k"), F.substring("text", F.lit(1), F.floor(F.col("n") / 4).cast("int")).alias("head"), runs(F.col("text")).alias("next_runs"))
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
-    rows = base.join(head, "k").select("doc_id", n.cast("long").alias("n_chars"), "text", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("head", F.lit(1), cut)).alias("edited"), "next_runs")
+    rows = base.join(head.hint("merge"), "k").select("doc_id", n.cast("long").alias("n_chars"), "text", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("head", F.lit(1), cut)).alias("edited"), "next_runs")
     rows = rows.withColumn("own_runs", runs(F.col("text")))
     return rows.select(
         "doc_id",

@@ -25,6 +25,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from . import _kernel as K
@@ -324,7 +325,7 @@ def _encode(path: str, text: str, out: str):
 def encode_column(docs: DataFrame, path: str, text: str = "text", out: str = "token_ids") -> DataFrame:
     """Adds the ids of ``text`` as an array column; null text gives an empty array."""
     Workspace(docs.sparkSession, "bpe")
-    kind = docs.schema.add(out, "array<int>")
+    kind = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
     return docs.mapInArrow(_encode(path, text, out), kind)
 
 
@@ -342,4 +343,4 @@ def _decode(path: str, ids: str, out: str):
 def decode_column(docs: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Adds the text of an array of ids; null stays null."""
     Workspace(docs.sparkSession, "bpe")
-    return docs.mapInArrow(_decode(path, ids, out), docs.schema.add(out, "string"))
+    return docs.mapInArrow(_decode(path, ids, out), T.StructType([*docs.schema.fields, T.StructField(out, T.StringType())]))

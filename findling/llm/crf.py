@@ -23,6 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _kernel as K
 from ._shared import Workspace
@@ -312,4 +313,4 @@ def _label(sent):
 def label_words(docs: DataFrame, model: Model) -> DataFrame:
     """Adds ``word_labels``, the most likely language of each word of ``text`` in order."""
     Workspace(docs.sparkSession, "crf")
-    return docs.mapInArrow(_label(docs.sparkSession.sparkContext.broadcast(model)), docs.schema.add("word_labels", "array<string>"))
+    return docs.mapInArrow(_label(docs.sparkSession.sparkContext.broadcast(model)), T.StructType([*docs.schema.fields, T.StructField("word_labels", T.ArrayType(T.StringType()))]))

@@ -221,6 +221,6 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass; columns as they are."""
-    gone = judged(docs, Workspace(docs.sparkSession, "quality")).where("not kept").select(F.col("rk").alias("_rk")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return keyed.join(gone, F.col("_key") == F.col("_rk"), "left_anti").drop("_key")
+    gone = judged(docs, Workspace(docs.sparkSession, "quality")).where("not kept").select(F.col("rk").alias("__rk")).distinct()
+    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    return keyed.join(gone, F.col("__key") == F.col("__rk"), "left_anti").drop("__key")

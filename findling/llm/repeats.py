@@ -320,11 +320,6 @@ def _rest(batches):
         yield pa.RecordBatch.from_arrays([col("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def row_key(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> F.Column:
-    """Rows with the same id and text share a key, and with it their spans."""
-    return F.xxhash64(F.col(doc_id), F.col(text))
-
-
 def repeat_report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Rows ``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``, one for each row of ``docs``."""
     space = Workspace(docs.sparkSession, "repeats")
@@ -336,7 +331,7 @@ def repeat_report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def _keep_text(batches):
     for batch in batches:
         index = batch.schema.get_field_index("text")
-        text, spans = batch.column(index).cast(pa.large_binary()), batch.column(batch.schema.get_field_index("spans"))
+        text, spans = batch.column(index).cast(pa.large_binary()), batch.column(batch.schema.get_field_index("__spans"))
         out = []
         for i in range(batch.num_rows):
             cut = merge([(x["lo"], x["hi"]) for x in spans[i].as_py() or ()])
@@ -352,15 +347,15 @@ def _keep_text(batches):
             out.append(b"".join(parts).decode(errors="ignore"))  # a span may cut a character of several bytes
         kind = batch.schema.field(index).type
         batch = batch.set_column(index, batch.schema.field(index), pa.array(out, kind))
-        yield batch.drop_columns(["spans"])
+        yield batch.drop_columns(["__spans"])
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents with repeated strings cut from ``text`` and ``n_chars`` adjusted; columns as they are."""
     space = Workspace(docs.sparkSession, "repeats")
-    keyed = docs.withColumn("rk", F.xxhash64("doc_id", "text"))
-    spans = repeated_spans(keyed.select("rk", "text"), space, width)
-    joined = keyed.join(spans, "rk", "left").drop("rk")
+    keyed = docs.withColumn("__rk", F.xxhash64("doc_id", "text"))
+    spans = repeated_spans(keyed.select(F.col("__rk").alias("rk"), "text"), space, width)
+    joined = keyed.join(spans.select(F.col("rk").alias("__rk"), F.col("spans").alias("__spans")), "__rk", "left").drop("__rk")
     cut = joined.mapInArrow(_keep_text, docs.schema)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast("long"))

@@ -390,5 +390,5 @@ def sketch_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents, less all but the one with the least id of every component; columns as they are."""
-    best = sketch_join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(best, docs.doc_id.eqNullSafe(best._gone), "left_anti")
+    best = sketch_join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(best, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")

@@ -50,9 +50,13 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame, bytes_each: int) -> int:
-    """A number of ranges or groups that keeps each near ``bytes_each`` at any input size."""
+    """A number of ranges or groups that keeps each near ``bytes_each`` at any input size.
+
+    The optimiser knows the size of files, not of other sources; those get the session's shuffle partitions.
+    """
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-min(input_bytes(df), 1 << 60) // bytes_each))
+    size = input_bytes(df)
+    return max(least, -(-size // bytes_each)) if size < 1 << 60 else least
 
 
 def components(space: Workspace, edges: DataFrame, label: str) -> DataFrame:

@@ -328,7 +328,7 @@ def sketch_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     while True:
         tasks = -(-tasks // FAN_IN)
         counts = counts.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("chunk", "task").applyInArrow(_add, "task long, chunk int, counts binary")
-        if tasks == 1:
+        if tasks <= 1:
             break
     merged = {r["chunk"]: np.frombuffer(r["counts"], np.uint16) for r in counts.collect()}  # CHUNKS rows, whatever the input
     count = np.concatenate([merged.get(c, np.zeros(COUNTERS // CHUNKS, np.uint16)) for c in range(CHUNKS)])

@@ -59,6 +59,18 @@ def spread(df: DataFrame, bytes_each: int) -> int:
     return max(least, -(-size // bytes_each)) if size < 1 << 60 else least
 
 
+#: Tasks that a list of work items is dealt to at most.
+MOST_TASKS = 20_000
+
+
+def dealt(items: DataFrame, each: int = 1) -> DataFrame:
+    """Small rows that stand for much work (files, blocks), ``each`` to a task.
+
+    A fixed number of partitions, since adaptive execution would join partitions of so few bytes into one.
+    """
+    return items.repartition(max(1, min(MOST_TASKS, -(-items.count() // each))))
+
+
 def components(space: Workspace, edges: DataFrame, label: str) -> DataFrame:
     """Connected components of ``edges (a, b)``: rows ``(node, component)``, the smallest node of each.
 
@@ -99,16 +111,16 @@ def ordered(df: DataFrame, key: str, value: str | None = None) -> DataFrame:
     """
     amount = F.coalesce(F.col(value).cast("long"), F.lit(0)) if value else F.lit(1)
     names = df.columns
-    dealt = df.repartitionByRange(F.col(key).asc_nulls_first()).withColumn("_range", F.spark_partition_id()).withColumn("_amount", amount.cast("long"))
+    ranged = df.repartitionByRange(F.col(key).asc_nulls_first()).withColumn("_range", F.spark_partition_id()).withColumn("_amount", amount.cast("long"))
     space = Workspace(df.sparkSession, "ordered")
-    dealt = space.save(dealt, "dealt")
+    ranged = space.save(ranged, "ranged")
     order = [F.col(key).asc_nulls_first(), *[F.col(c).asc_nulls_first() for c in names if c != key]]
     within = Window.partitionBy("_range").orderBy(*order)
-    ranges = dealt.groupBy("_range").agg(F.sum("_amount").alias("_sum"), F.min(key).alias("_first"))
+    ranges = ranged.groupBy("_range").agg(F.sum("_amount").alias("_sum"), F.min(key).alias("_first"))
     across = Window.orderBy("_range")  # one row a range
     ranges = ranges.select("_range", (F.sum("_sum").over(across) - F.col("_sum")).alias("_before"), F.lead("_first").over(across).alias("_next"))
     return (
-        dealt.withColumn("_inside", F.sum("_amount").over(within.rowsBetween(Window.unboundedPreceding, -1)))
+        ranged.withColumn("_inside", F.sum("_amount").over(within.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("_lead", F.lead(key).over(within))
         .withColumn("_last", F.lead(F.lit(1)).over(within).isNull())
         .join(F.broadcast(ranges), "_range")  # one row for each range

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._shared import Workspace
+from ._shared import MOST_TASKS, Workspace
 
 WIDTH = 400
 GRAM = 32
@@ -276,7 +276,8 @@ def repeated_spans(docs: DataFrame, space: Workspace, width: int = WIDTH) -> Dat
         members = open_kinds.where(f"kinds <= {GROUP}").join(held, ["h", "c"]).where(inside).select("key", "body", "lead", "n", slice_of.alias("text"))
         members = space.save(members, f"members-{level}")
         many = max(1, members.count() // MEMBERS)
-        found = members.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(many))).groupBy("part").applyInArrow(_collect(width, windows), "key long, body long, lo long, k long")
+        parted = members.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(many))).repartition(min(many, MOST_TASKS), "part")
+        found = parted.groupBy("part").applyInArrow(_collect(width, windows), "key long, body long, lo long, k long")
         found = space.save(found, f"found-{level}")
         marks.append(space.save(blocks.join(found, ["key", "body"]).where("m = 1").select("h", "c", (F.col("base") + F.col("lo")).alias("lo"), "k"), f"marks-{level}"))
         rest = open_kinds.where(f"kinds > {GROUP}").select("key", "body")

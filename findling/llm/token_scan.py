@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from . import _kernel as K
-from ._shared import Workspace
+from ._shared import Workspace, dealt
 from .bpe import codec
 
 #: Ids in a block, and the end-of-document id of the byte-level vocabulary.
@@ -111,8 +111,7 @@ def _scan(folder: str, end_id: int, width: int):
 
 def count_tokens(spark: SparkSession, space: Workspace, folder: str, end_id: int = END_ID, width: int = 2, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Rows ``(file, ordinal, start, n_tokens, closed)`` of every document of the flat files of a folder."""
-    cut = blocks(spark, folder, width, block_ids)
-    cut = cut.repartition(F.col("file"), F.col("block"))
+    cut = dealt(blocks(spark, folder, width, block_ids))
     kind = "file string, block long, within long, place long, before long, found long"
     scanned = space.save(cut.mapInArrow(_scan(folder, end_id, width), kind), "scanned")
     # The prefix scan, over one row for each block.

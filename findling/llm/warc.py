@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Workspace, ordered
+from ._shared import Workspace, dealt, ordered
 
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 8 << 20
@@ -219,7 +219,7 @@ def _read(folder: str):
 
 def read_archives(folder: str, manifest: DataFrame) -> DataFrame:
     """The records of all files of a manifest, with digests and lengths checked; ``html`` is null for revisits."""
-    files = manifest.select("file").repartition(F.col("file"))
+    files = dealt(manifest.select("file"))
     return files.mapInArrow(_read(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
 
 

@@ -138,4 +138,16 @@ SELECT b.doc_id, CAST(len(b.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r.n, 0)
 FROM bytes b LEFT JOIN removed r USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """,
     "op8_licenses": licenses.oracle(),
+    "op9_warc": r"""
+WITH digests AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS x, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages
+), fives AS (
+  SELECT *, list_transform(range(0, 8), lambda i: CAST('0x' || x[5 * i + 1 : 5 * i + 5] AS BIGINT)) AS v FROM digests
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(v, lambda n: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((n >> CAST(s AS INT)) & 31) AS BIGINT), 1)), '')), '') AS payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> best THEN best END AS refers_to
+FROM fives
+""",
 }

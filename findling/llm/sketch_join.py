@@ -45,6 +45,8 @@ FAN_IN = 64
 #: Least and most bits of a short sketch (about four for each shingle), and the size up to which a group gives all pairs.
 SKETCH_BITS = (256, 1 << 16)
 ALL_PAIRS = 6
+#: Members of a large group that one task compares with as many others.
+GROUP_BLOCK = 2048
 
 _U = np.uint64
 _SHIFT = _U(64 - 22)  # the top bits of a signature are its counter
@@ -254,8 +256,9 @@ def _spell_out(batches):
 
 
 def _across(keys, table):
-    """Pairs of one group across components that sizes and short sketches allow."""
-    sid, comp, n = (table.column(c).to_numpy() for c in ("set_id", "component", "n"))
+    """Pairs of one group (or two blocks of it) across components that sizes and short sketches allow."""
+    sid, comp, n, block = (table.column(c).to_numpy() for c in ("set_id", "component", "n", "block"))
+    one = keys[1].as_py() == keys[2].as_py()
     own = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("sketch").combine_chunks()]
     width = np.array([len(x) for x in own])
     folded = {}
@@ -266,7 +269,8 @@ def _across(keys, table):
         folded[k] = (row, np.stack([fold(own[i], k) for i in at.tolist()]))
     a, b = [], []
     for i in range(len(sid) - 1):
-        rest = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+        other = comp[i + 1 :] != comp[i]
+        rest = np.flatnonzero(other if one else other & (block[i + 1 :] != block[i])) + i + 1
         least, most = np.minimum(n[rest], n[i]), np.maximum(n[rest], n[i])
         rest = rest[least * 100 >= most * MIN_SIMILARITY]
         common = np.minimum(width[rest], width[i])
@@ -376,14 +380,19 @@ def sketch_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     if not grouped.isEmpty():
         known = grouped.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").select("grp", "set_id", F.coalesce("component", "set_id").alias("component"))
         known = space.save(known, "members")
-        open_groups = known.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("grp")
-        left = known.join(open_groups, "grp", "left_semi").join(sets.select("set_id", "n", "sketch"), "set_id")
-        more = left.groupBy("grp").applyInArrow(_across, "a long, b long").distinct()
+        open_groups = known.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+        open_groups = space.save(open_groups.select("grp", F.ceil(F.col("size") / GROUP_BLOCK).cast("int").alias("blocks")), "open")
+        left = known.join(open_groups, "grp").join(sets.select("set_id", "n", "sketch"), "set_id")
+        # A group beyond one block is compared block by block, so no task holds more than two blocks of it.
+        left = left.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        left = left.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).select("grp", "x", "y", "block", "set_id", "component", "n", "sketch")
+        more = left.groupBy("grp", "x", "y").applyInArrow(_across, "a long, b long").distinct()
         more = space.save(more, "across")
         if not more.isEmpty():
             links, label = linked(near(more.join(pairs, ["a", "b"], "left_anti"), "near-across"), links, label, "second")
     of_set = sets.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc", F.coalesce("component", "set_id").alias("component"))
-    least = of_set.groupBy("component").agg(F.min("doc").alias("component_id"))
+    of_set = space.save(of_set, "of-set")
+    least = space.save(of_set.groupBy("component").agg(F.min("doc").alias("component_id")), "least")  # plain tables, so that hot components can be split
     named = of_set.join(least, "component").select("set_id", "component_id")
     return rows.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -41,6 +41,7 @@ def test_sketch_join(docs, rows):
 
 def test_sketch_join_large_groups(spark, monkeypatch):
     """A chain and a star of near copies, so that large groups hold several components for a while."""
+    monkeypatch.setattr(sketch_join, "GROUP_BLOCK", 7)
     rng = random.Random(1)
     base = [f"w{i}" for i in range(120)]
     texts = []

@@ -42,14 +42,25 @@ class SqlPlan:
     group_by: list[str] = field(default_factory=list)
     scored: bool = False
     semijoin: bool = False
+    count_only: bool = False
     terms: list = field(default_factory=list)
 
     def facts(self) -> dict:
         """EXPLAIN's logical part."""
         stages = ["scan", *(["text_match"] if self.text_matches else []), *(["filter"] if self.pushed or self.residual else []), *(["score"] if self.scored else []), *(["semijoin"] if self.semijoin else []), *(["group"] if self.group_by else []), "project"]
+        mode, reason = "scan", "columns of the matching rows are read and projected"
+        if self.group_by:
+            mode, reason = "grouped", "partial aggregates in each task, merged by group key"
+        elif self.count_only:
+            mode, reason = "count", "only the number of matching rows is asked for"
         return {
             "index": self.index,
-            "execution_mode": "grouped" if self.group_by else "scan",
+            "execution_mode": mode,
+            "execution_strategy": f"{mode} over {'scored' if self.scored else 'unscored'} matches",
+            "strategy_reason": reason,
+            "pushdown_summary": {"text_matches": len(self.text_matches), "filters": len(self.pushed), "residual": len(self.residual)},
+            "approximate_top_k": False,
+            "truncated": False,
             "text_matches": [{"field": f, "query": q} for f, q in self.text_matches],
             "pushed_down_filters": self.pushed,
             "has_residual_predicates": bool(self.residual),
@@ -306,6 +317,7 @@ class _Compiler:
                         raise ParsingError("EXISTS is not supported")
             except KeyError as e:
                 raise ParsingError("a SELECT with a FROM is needed") from e
+            self.plan.count_only = [t.upper for t in whole["SELECT"][:4]] == ["COUNT", "(", "*", ")"] and len(depth_split(whole["SELECT"], ",")) == 1 and "GROUP" not in whole
             self.plan.text = self.select(tokens)
         else:
             done = self.text_matches(tokens, False)

@@ -111,6 +111,8 @@ def test_metadata_and_explain(stories):
     facts = stories.explain("SELECT author, count(*) AS n FROM stories WHERE text_match(title, 'rust') AND upvotes > 3 AND title LIKE '%R%' GROUP BY author", analyze=True)
     assert facts["text_matches"] == [{"field": "title", "query": "rust"}]
     assert facts["pushed_down_filters"] == ["upvotes > 3"] and facts["has_residual_predicates"] and facts["group_by_columns"] == ["author"]
+    assert facts["execution_mode"] == "grouped" and facts["pushdown_summary"] == {"text_matches": 1, "filters": 1, "residual": 1}
+    assert stories.explain("SELECT count(*) AS n FROM stories WHERE upvotes > 3")["execution_mode"] == "count"
     assert facts["rows"] == 2 and "HashAggregate" in facts["physical_plan"]
 
 

@@ -328,7 +328,7 @@ def sketch_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     measured = space.save(docs.mapInArrow(_measure, kind), "measured")
     rows = measured.where("chunk is null").select("doc_id", "n_shingles", "set_id", "sketch")
     counts = measured.where("chunk is not null").select("task", "chunk", "counts")
-    tasks = docs.rdd.getNumPartitions()
+    tasks = 1 + (counts.agg(F.max("task")).first()[0] or 0)
     while True:
         tasks = -(-tasks // FAN_IN)
         counts = counts.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("chunk", "task").applyInArrow(_add, "task long, chunk int, counts binary")

@@ -3,7 +3,7 @@
 Method. A document's set is its distinct shingles of five words. A *parity sketch* hashes every shingle
 to one bit and flips it, so the Hamming distance of two sketches never exceeds the size of the symmetric
 difference of the sets. Sets of ``s <= l`` shingles with Jaccard similarity of at least ``t`` differ in
-at most ``D = floor(s * (1 - t) / t)`` shingles. Sizes fall into bands ``[4**c, 4**(c + 1))`` of the
+at most ``D = floor(s * (1 - t) / t)`` shingles. Sizes fall into bands ``[2**c, 2**(c + 1))`` of the
 smaller set; the sketches of a band are cut into more pieces than ``D``, so (pigeonhole) equal pieces must
 exist, and among the pieces of each sketch, in an order common to all, two of the first ``D + 1`` coincide.
 A piece is 65,536 bits wide and is kept as the XOR of a code for each set bit, which is the same for two
@@ -85,38 +85,40 @@ def allowed(n: int, similarity: int = MIN_SIMILARITY) -> int:
 def bands(n: int, similarity: int = MIN_SIMILARITY) -> list[tuple[int, int, int]]:
     """The size bands of a set of ``n``: (band, pieces of a sketch, pieces to emit).
 
-    A set belongs to the band of its size, and to the one below if a smaller set there may link to it.
+    A set belongs to the band of its size, and to the one below if a smaller set there may link to it. Large
+    sets have one to two shingles a piece; small ones mostly one, so that hardly a piece is cancelled.
     """
     out = []
-    own = (n.bit_length() - 1) // 2
+    own = n.bit_length() - 1
     for c in (own, own - 1):
-        top = 4 ** (c + 1) - 1  # the largest size of the smaller set
+        top = 2 ** (c + 1) - 1  # the largest size of the smaller set
         if c >= 0 and (c == own or top * 100 >= n * similarity):
             d = allowed(min(n, top), similarity)
             if d:
-                out.append((c, top + 1, d + 1))
+                out.append((c, (top + 1) // 2 if top > 100 else 4 * (top + 1), d + 1))
     return out
 
 
-def pieces(hashes: np.ndarray, band: int, count: int) -> np.ndarray:
-    """The signatures of the pieces of a parity sketch that have an odd bit."""
+def pieces(hashes: np.ndarray, band: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pieces of a parity sketch that have an odd bit: signatures, whether it is but one bit, and places."""
     piece = ((hashes >> _U(32)) * _U(count)) >> _U(32)
     code = K.mix((hashes & _U(0xFFFF)) + _U(0x51ED2701))
     new = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
     value = np.bitwise_xor.reduceat(code, new)
+    single = np.logical_or.reduceat(code == np.repeat(value, np.diff(np.append(new, len(code)))), new)
     odd = value != 0
-    return K.mix(value[odd] ^ K.mix(piece[new][odd] * _U(64) + _U(band)))
+    return K.mix(value[odd] ^ K.mix(piece[new][odd] * _U(64) + _U(band))), single[odd], piece[new][odd]
 
 
 def first_pieces(hashes: np.ndarray, band: int, count: int, emit: int, rank: np.ndarray) -> np.ndarray:
-    """The first ``emit`` signatures in the common order: rarely counted, then by hash, pieces of zeros last."""
-    own = pieces(hashes, band, count)
+    """The first ``emit`` signatures in the common order: rarely counted ones, one bit counting as twice as common
+    as several (texts often share a stray shingle); then by hash; pieces of zeros last."""
+    own, single, place = pieces(hashes, band, count)
     if len(own) > emit:
-        order = np.lexsort((own, rank[(own >> _SHIFT).astype(np.int64)]))
+        order = np.lexsort((own, rank[(own >> _SHIFT).astype(np.int64)].astype(np.int64) + 8 * single))
         own = own[order[:emit]]
     elif len(own) < emit:  # very rare: odd bits that cancelled
-        piece = np.unique(((hashes >> _U(32)) * _U(count)) >> _U(32))
-        zero = np.setdiff1d(np.arange(count, dtype=_U), piece)[: emit - len(own)]
+        zero = np.setdiff1d(np.arange(count, dtype=_U), place)[: emit - len(own)]
         own = np.concatenate((own, K.mix(K.mix(zero * _U(64) + _U(band)))))
     return own
 
@@ -146,7 +148,7 @@ def _measure(batches):
     names = ["doc_id", "n_shingles", "set_id", "sketch", "task", "chunk", "counts"]
     for batch, raw, at in K.steps(batches):
         sets = shingle_hashes(raw, at)
-        got = [pieces(h, c, count) >> _SHIFT for h in sets for c, count, _ in bands(len(h)) if len(h)]
+        got = [pieces(h, c, count)[0] >> _SHIFT for h in sets for c, count, _ in bands(len(h)) if len(h)]
         if got:
             at_, n = np.unique(np.concatenate(got), return_counts=True)
             seen[at_.astype(np.int64)] += n.astype(np.int32)

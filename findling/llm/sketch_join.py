@@ -249,12 +249,12 @@ def _groups(keys, table):
 
 
 def _spell_out(batches):
-    """Members of large groups as rows, with a key of the group."""
+    """Members of large groups as rows. Groups with one least member go together: near copies share most of their
+    pieces, and so their pairs are looked at once and not once for each piece."""
     for batch in batches:
         for members in batch.column(0).to_pylist():
             own = np.frombuffer(members, np.int64)
-            key = xxhash.xxh3_64_intdigest(members) - (1 << 63)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), key)), pa.array(own)], ["grp", "set_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), own[0])), pa.array(own)], ["grp", "set_id"])
 
 
 def _across(keys, table):
@@ -378,7 +378,7 @@ def sketch_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     links, label = linked(pairs, None, None, "first")
     if label is None:  # no candidates at all
         links, label = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, component long")
-    grouped = found.where("members is not null").select("members").distinct().mapInArrow(_spell_out, "grp long, set_id long")
+    grouped = found.where("members is not null").select("members").distinct().mapInArrow(_spell_out, "grp long, set_id long").distinct()
     if not grouped.isEmpty():
         known = grouped.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").select("grp", "set_id", F.coalesce("component", "set_id").alias("component"))
         known = space.save(known, "members")

@@ -12,7 +12,8 @@ class; the classes up to the one that reaches the subset's size give the next es
 aggregate with map-side combining whatever a group's size, and no group is ever gathered. Vectors lie on an
 integer grid (``GRID`` steps a unit), so sums are exact and results don't depend on partitions. Each
 statistic has a least spread (``FLOOR``), since most clean texts have no symbols or repeats at all. Groups
-of fewer than ``LEAST_GROUP`` texts use the estimate of their language, or else of all texts.
+of fewer than ``LEAST_GROUP`` texts use the estimate of their language, or else of all texts; those estimates are
+fitted on every text of the language, or every text, that passes the base, whichever estimate judges it.
 
 Null and blank texts have no words and fail the base. A null language or source is a group like another.
 Rows with one id are judged one by one. Extra columns are not read.
@@ -170,19 +171,26 @@ def distance() -> Column:
 
 
 def grouped(stats: DataFrame, space: Workspace) -> DataFrame:
-    """Adds ``grp``, the group whose estimate judges the row, and the vector; only rows that pass the base."""
+    """Adds ``grp``, the group whose estimate judges the row, ``fits``, the groups whose estimates it helps to fit, and the vector; only rows that pass the base."""
     fine, coarse = F.concat(F.lit("f"), F.to_json(F.struct("lang", "source"))), F.concat(F.lit("c"), F.to_json(F.struct("lang")))
     rows = stats.where(~base_failed()).withColumns({"fine": fine, "coarse": coarse})
+    by_coarse = Window.partitionBy("coarse")  # one row for each group
     size = rows.groupBy("coarse", "fine").agg(F.count("*").alias("n"))
-    size = size.withColumn("all_n", F.sum("n").over(Window.partitionBy("coarse")))  # one row for each group
+    size = space.save(size.withColumns({"all_n": F.sum("n").over(by_coarse), "least_n": F.min("n").over(by_coarse)}), "sizes")
     least = F.lit(LEAST_GROUP)
     chosen = F.when(F.col("n") >= least, F.col("fine")).when(F.col("all_n") >= least, F.col("coarse")).otherwise(F.lit("*"))
-    size = space.save(size.select("fine", chosen.alias("grp")), "groups")
-    return space.save(rows.join(size, "fine").select(*stats.columns, "grp", *vector()), "vectors")
+    # A row takes part in each estimate of its own that any row is judged by.
+    own = F.when(F.col("n") >= least, F.col("fine"))
+    language = F.when((F.col("least_n") < least) & (F.col("all_n") >= least), F.col("coarse"))
+    size = size.crossJoin(F.broadcast(size.agg(F.min("all_n").alias("least_all"))))  # one row
+    everything = F.when(F.col("least_all") < least, F.lit("*"))
+    size = space.save(size.select("fine", chosen.alias("grp"), F.array_compact(F.array(own, language, everything)).alias("fits")), "groups")
+    return space.save(rows.join(size, "fine").select(*stats.columns, "grp", "fits", *vector()), "vectors")
 
 
 def fit(vectors: DataFrame, space: Workspace) -> DataFrame:
-    """Rows ``(grp, mean, inverse)``: the estimate of each group."""
+    """Rows ``(grp, mean, inverse)``: the estimate of each group, from all rows that it stands for."""
+    vectors = vectors.select(F.explode("fits").alias("grp"), *(f"x{i}" for i in range(P)))
     middle = vectors.groupBy("grp").agg(*(F.percentile(f"x{i}", F.lit(0.5)).alias(f"m{i}") for i in range(P)))  # counts by grid value
     middle = space.save(middle, "medians")
     spread = vectors.join(middle, "grp").groupBy("grp").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(P)), *(F.percentile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), F.lit(0.5)).alias(f"s{i}") for i in range(P)))

@@ -17,6 +17,7 @@ from findling.llm import bpe, crf, licenses, merkle, packing, quality, repeats,
 from findling.llm._shared import Workspace, components, ordered
 
 from . import brute
+from .conftest import words
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -131,6 +132,19 @@ def test_quality_odd_tables(spark, docs, nothing):
     assert abs(quality.chi_square_quantile(0.95, 5) - 11.0705) < 1e-3 and abs(quality.gamma_p(2.5, 3.0) - 0.6937810816) < 1e-6
 
 
+def test_quality_small_groups(spark):
+    rng = random.Random(8)
+    text = lambda lang: words(rng, rng.randint(80, 120), lang)
+    junk = lambda lang: " ".join(w + "$$$" for w in words(rng, 80, lang).split())
+    rows = [(text("en"), "en", "big") for _ in range(200)] + [(junk("en"), "en", "rare"), (junk("fr"), "fr", "rare"), (junk("fr"), "fr", "other")]
+    for clean in range(3):  # beside none, one and two clean leftovers
+        frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string").repartition(3)
+        got = table(quality.quality_report(frame))
+        assert [got[i]["kept"] for i in (200, 201, 202)] == [False] * 3, clean
+        assert all(got[i]["kept"] for i in range(len(rows)) if i not in (200, 201, 202)), clean
+        rows += [(text("en"), "en", "rare"), (text("fr"), "fr", "rare")]
+
+
 # 4
 
 

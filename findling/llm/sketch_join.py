@@ -19,6 +19,9 @@ still join two components; 5. verified links form components; 6. only groups tha
 pair across components through the short sketches, and what passes is verified as before. No link is lost:
 inside one component a further link changes nothing. Equal sets are one set from step 2 on.
 
+``sketch_links`` and ``link_counts`` give the links themselves: all candidates of step 3, inside components too, are
+verified, and every large group is compared pair by pair.
+
 Null and blank texts have the empty set, link to nothing and are components of their own. Rows with the
 same id are taken as one document each; their components share the id. Extra columns are not read.
 """
@@ -304,28 +307,29 @@ def _near(batches):
         yield batch.select(["a", "b", "doc_a", "doc_b"]).append_column("far", pa.array(far)).filter(pa.array(ok))
 
 
-def _verify(batches):
-    """Exact test of pairs of whole texts; the shingles of a text that comes again and again are kept."""
+def _verify(batches, named: bool = False):
+    """Exact test of pairs of whole texts; the shingles of a text that comes again and again are kept.
+
+    With ``named`` the texts must also be those of the pair's sets (an id may have several texts).
+    """
     last, own = None, None
     for batch in batches:
         a, b = batch.column(0), batch.column(1)
         x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("text_a", "text_b"))
         good = []
-        ids = a.to_pylist()
+        ids, others = a.to_pylist(), b.to_pylist()
         for i in range(batch.num_rows):
-            if last != ids[i]:
+            if named or last != ids[i]:
                 last, own = ids[i], shingle_hashes(*K.flatten(x.slice(i, 1)))[0]
             other = shingle_hashes(*K.flatten(y.slice(i, 1)))[0]
             both = len(np.intersect1d(own, other, assume_unique=True))
-            good.append(100 * both >= MIN_SIMILARITY * (len(own) + len(other) - both) and both > 0)
+            good.append(100 * both >= MIN_SIMILARITY * (len(own) + len(other) - both) and both > 0 and (not named or (set_id(own) == ids[i] and set_id(other) == others[i])))
         yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def sketch_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Rows ``(doc_id, n_shingles, component_id)``, one for each row of ``docs``."""
+def _candidates(docs: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The measured documents, the pairs and large groups that share a piece, and the distinct sets."""
     spark = docs.sparkSession
-    space = Workspace(spark, "sketch-join")
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = "doc_id long, n_shingles long, set_id long, sketch binary, task long, chunk int, counts binary"
     measured = space.save(docs.mapInArrow(_measure, kind), "measured")
     rows = measured.where("chunk is null").select("doc_id", "n_shingles", "set_id", "sketch")
@@ -347,17 +351,49 @@ def sketch_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")),
         "sets",
     )
+    return rows, found, sets
+
+
+def _allowed_pairs(pairs: DataFrame, sets: DataFrame, space: Workspace, name: str) -> DataFrame:
+    """The pairs that sizes and short sketches don't rule out."""
+    left = sets.select(F.col("set_id").alias("a"), F.col("doc").alias("doc_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+    right = sets.select(F.col("set_id").alias("b"), F.col("doc").alias("doc_b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+    return space.save(pairs.join(right, "b").join(left, "a").mapInArrow(_near, "a long, b long, doc_a long, doc_b long, far long"), name)
+
+
+def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs and the texts of their documents."""
+    texts = docs.where("text is not null")
+    one = pairs.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
+    two = one.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
+    return two.select("a", "b", "text_a", "text_b")
+
+
+def _group_members(found: DataFrame) -> DataFrame:
+    return found.where("members is not null").select("members").distinct().mapInArrow(_spell_out, "grp long, set_id long").distinct()
+
+
+def _compared(known: DataFrame, open_groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs across components of the open groups. A group beyond one block is compared block by block, so no task
+    holds more than two blocks of it."""
+    left = known.join(open_groups, "grp").join(sets.select("set_id", "n", "sketch"), "set_id")
+    left = left.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).select("grp", "x", "y", "block", "set_id", "component", "n", "sketch")
+    return left.groupBy("grp", "x", "y").applyInArrow(_across, "a long, b long").distinct()
+
+
+def sketch_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Rows ``(doc_id, n_shingles, component_id)``, one for each row of ``docs``."""
+    spark = docs.sparkSession
+    space = Workspace(spark, "sketch-join")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows, found, sets = _candidates(docs, space)
 
     def near(pairs: DataFrame, name: str) -> DataFrame:
-        left = sets.select(F.col("set_id").alias("a"), F.col("doc").alias("doc_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-        right = sets.select(F.col("set_id").alias("b"), F.col("doc").alias("doc_b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-        return space.save(pairs.join(right, "b").join(left, "a").mapInArrow(_near, "a long, b long, doc_a long, doc_b long, far long"), name)
+        return _allowed_pairs(pairs, sets, space, name)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        texts = docs.where("text is not null")
-        one = pairs.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
-        two = one.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
-        return space.save(two.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), name)
+        return space.save(_with_texts(pairs, docs).mapInArrow(_verify, "a long, b long"), name)
 
     def linked(pairs: DataFrame, links: DataFrame | None, label: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame]:
         """Verifies candidate pairs: first the nearest partner of each set, then what still joins components."""
@@ -378,17 +414,13 @@ def sketch_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     links, label = linked(pairs, None, None, "first")
     if label is None:  # no candidates at all
         links, label = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, component long")
-    grouped = found.where("members is not null").select("members").distinct().mapInArrow(_spell_out, "grp long, set_id long").distinct()
+    grouped = _group_members(found)
     if not grouped.isEmpty():
         known = grouped.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").select("grp", "set_id", F.coalesce("component", "set_id").alias("component"))
         known = space.save(known, "members")
         open_groups = known.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
         open_groups = space.save(open_groups.select("grp", F.ceil(F.col("size") / GROUP_BLOCK).cast("int").alias("blocks")), "open")
-        left = known.join(open_groups, "grp").join(sets.select("set_id", "n", "sketch"), "set_id")
-        # A group beyond one block is compared block by block, so no task holds more than two blocks of it.
-        left = left.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        left = left.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).select("grp", "x", "y", "block", "set_id", "component", "n", "sketch")
-        more = left.groupBy("grp", "x", "y").applyInArrow(_across, "a long, b long").distinct()
+        more = _compared(known, open_groups, sets)
         more = space.save(more, "across")
         if not more.isEmpty():
             links, label = linked(near(more.join(pairs, ["a", "b"], "left_anti"), "near-across"), links, label, "second")
@@ -403,3 +435,35 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents, less all but the one with the least id of every component; columns as they are."""
     best = sketch_join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(best, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+
+
+def _links(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The measured documents, the distinct sets, and all links ``(a, b)`` of different sets."""
+    space = Workspace(docs.sparkSession, "sketch-links")
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows, found, sets = _candidates(docs, space)
+    known = space.save(_group_members(found).withColumn("component", F.col("set_id")), "members")
+    groups = space.save(known.groupBy("grp").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks")), "open")
+    compared = _compared(known, groups, sets)
+    few = found.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = _allowed_pairs(space.save(few.union(compared).distinct(), "pairs"), sets, space, "near")
+    links = _with_texts(pairs, docs).mapInArrow(lambda batches: _verify(batches, named=True), "a long, b long")
+    return rows, sets, space.save(links.distinct(), "links")
+
+
+def sketch_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Rows ``(a, b)``: every link of two different sets, by the least document of each; ``a <= b``."""
+    _, sets, links = _links(docs, text, doc_id)
+    of = lambda side: sets.select(F.col("set_id").alias(side), F.col("doc").alias(f"doc_{side}"))
+    named = links.join(of("a"), "a").join(of("b"), "b")
+    return named.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
+
+
+def link_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Rows ``(doc_id, n_links)``, one for each row of ``docs``: how many other rows it links to, equal sets among them."""
+    rows, _, links = _links(docs, text, doc_id)
+    size = rows.where("set_id is not null").groupBy("set_id").agg(F.count("*").alias("size"))
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = both.join(size.withColumnRenamed("set_id", "b"), "b").groupBy(F.col("a").alias("set_id")).agg(F.sum("size").alias("far"))
+    total = size.join(far, "set_id", "left").select("set_id", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    return rows.join(total, "set_id", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

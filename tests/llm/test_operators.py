@@ -58,6 +58,28 @@ def test_sketch_join_large_groups(spark, monkeypatch):
     assert got == brute.components(texts)
 
 
+def test_sketch_links(spark, monkeypatch):
+    """Every link inside a cluster, each class of equal sets by its least document."""
+    monkeypatch.setattr(sketch_join, "GROUP_BLOCK", 7)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    texts = [(0, " ".join(base)), (1, " ".join(base)), (100, None), (101, ""), (102, words(rng, 90))]
+    for i in range(2, 40):
+        own = list(base)
+        for _ in range(rng.choice((1, 3, 4, 5))):
+            own[rng.randrange(120)] = f"x{rng.randrange(999)}"
+        texts.append((i, " ".join(own)))
+    sets = {i: brute.shingles(t) for i, t in texts}
+    linked = lambda x, y: 100 * len(x & y) >= 75 * len(x | y) > 0
+    pairs = {(i, j) for i in sets for j in sets if i < j and linked(sets[i], sets[j])}
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, sketch_join.sketch_links(frame).collect()))
+    assert got == sorted((i, j) for i, j in pairs if sets[i] != sets[j] and not {1} & {i, j}) and len(got) > 40
+    counts = {r["doc_id"]: r["n_links"] for r in sketch_join.link_counts(frame).collect()}
+    assert counts == {i: sum(i in p for p in pairs) for i in sets}
+    assert sketch_join.sketch_links(frame.limit(0)).count() == 0
+
+
 def test_sketch_join_odd_tables(spark, nothing):
     assert sketch_join.sketch_join(nothing).count() == 0 and sketch_join.one_of_each(nothing).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, "A B C D E F"), (None, None)], "doc_id long, text string")

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that one step works on; a single longer text is a step of its own.
 STEP_BYTES = 1 << 20
@@ -76,18 +77,49 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[t
 
 
 def prefix_hash(raw: np.ndarray) -> np.ndarray:
-    """Polynomial hashes (modulo 2**64) of all prefixes; see ``span_hash``."""
+    """Polynomial values (modulo 2**64) of all prefixes; see ``gram_hash``."""
     out = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(BYTE_CODE[raw] * _power("up", BASE, len(raw)), out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of the bytes ``start:end``, whichever place they have."""
+def gram_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A rolling hash of the bytes ``start:end``, whichever place they have.
+
+    Only for choosing places (anchors, cuts): different strings of some shapes share a value for certain, so no
+    equality may rest on it. ``span_hash`` is for that.
+    """
     down = _power("down", BASE_INVERSE, len(prefix))
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+#: Spans up to this length are hashed eight bytes at a time, all spans together; longer ones by xxh3.
+LANED = 128
+_BELOW = np.array([(1 << (8 * k)) - 1 for k in range(8)], np.uint64)
+
+
+def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes ``start:end``: every eight bytes pass through ``mix`` with what came before."""
+    size = end - start
+    out = mix(size.astype(np.uint64) * BASE + np.uint64(0x2545F4914F6CDD1D))
+    long = np.flatnonzero(size > LANED)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(raw))
+        out[long] = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)), np.uint64, len(long))
+    held = np.concatenate((raw, np.zeros(8, np.uint8)))
+    eights = np.lib.stride_tricks.as_strided(held[:8].view("<u8"), (len(raw) + 1,), (1,))
+    open_ = np.flatnonzero((size > 0) & (size <= LANED))
+    at, left = start[open_], size[open_]
+    while len(open_):
+        lane = eights[at]
+        short = left < 8
+        lane[short] &= _BELOW[left[short]]
+        out[open_] = mix((out[open_] ^ lane) * np.uint64(0x9FB21C651E98DF25) + BASE)
+        on = left > 8
+        open_, at, left = open_[on], at[on] + 8, left[on] - 8
+    return out
+
+
 def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word of every text, and ``first[i]:first[i + 1]``, the words of text ``i``."""
     solid = np.zeros(len(raw) + 2, bool)

@@ -153,7 +153,7 @@ class Codec:
 
     def _segments(self, raw: np.ndarray, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the segments through the table, and the number of ids of each."""
-        h = K.span_hash(prefix, start, end) | _U(1)
+        h = K.span_hash(raw, start, end) | _U(1)
         kinds, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         number = self._find(kinds)
         new = np.flatnonzero(number < 0)
@@ -250,7 +250,7 @@ class Codec:
         """Of the safe cuts, the first and last of every chunk: between them stands what is kept for the
         chunk, and from the last of one chunk to the first of the next what repairs the join."""
         here = np.arange(ROLL_BYTES, len(raw))
-        roll = K.span_hash(prefix, here - ROLL_BYTES, here)
+        roll = K.gram_hash(prefix, here - ROLL_BYTES, here)
         ends = here[(roll & _U(CHUNK_BYTES - 1)) == 0]
         edge = np.union1d(bound, ends)
         chunk = np.searchsorted(edge, cut, "right")

@@ -56,9 +56,8 @@ def _hashed(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     """Table rows of the trigram around every byte, and of every word, its prefix and its suffix."""
     wide = np.concatenate(([32], raw, [32])).astype(_U)
     gram = K.mix(wide[:-2] << _U(16) | wide[1:-1] << _U(8) | wide[2:])
-    prefix = K.prefix_hash(raw)
     spans = ((start, end), (start, np.minimum(start + 4, end)), (np.maximum(end - 4, start), end))
-    rows = [((K.span_hash(prefix, a, b) + _U((k + 1) * int(K.BASE) % (1 << 64))) >> _U(48)).astype(np.int64) for k, (a, b) in enumerate(spans)]
+    rows = [((K.span_hash(raw, a, b) + _U((k + 1) * int(K.BASE) % (1 << 64))) >> _U(48)).astype(np.int64) for k, (a, b) in enumerate(spans)]
     return (gram >> _U(48)).astype(np.int64), rows
 
 

@@ -57,7 +57,6 @@ def statistics(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     total = lambda flag: np.diff(np.concatenate(([0], np.cumsum(flag)))[at])
     solid = ~K.IS_SPACE[raw]
     out = {"n_words": np.diff(first), "word_chars": total(solid & ((raw & 0xC0) != 0x80)), "n_symbols": total(_SYMBOL[raw])}
-    prefix = K.prefix_hash(raw)
     doc_of_word = np.repeat(np.arange(docs), np.diff(first))
 
     breaks = np.flatnonzero(raw == 10)
@@ -68,11 +67,11 @@ def statistics(raw: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     worded = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
     line_start, line_end = line_start[worded], line_end[worded]
     doc = np.searchsorted(at, line_start, "right") - 1
-    key = K.mix(K.span_hash(prefix, line_start, line_end) + doc.astype(np.uint64) * K.BASE)
+    key = K.mix(K.span_hash(raw, line_start, line_end) + doc.astype(np.uint64) * K.BASE)
     _, kinds = np.unique(key, return_index=True)
     out["n_dup_lines"] = np.bincount(doc, minlength=docs) - np.bincount(doc[kinds], minlength=docs)
 
-    word = K.span_hash(prefix, start, end)
+    word = K.span_hash(raw, start, end)
     n = max(0, len(word) - 2)
     within = doc_of_word[:n] == doc_of_word[2:] if n else np.zeros(0, bool)
     window = K.mix(word[:n] + word[1 : n + 1] * np.uint64(0x9FB21C651E98DF25) + word[2 : n + 2] * np.uint64(0xD6E8FEB86659FD93) + doc_of_word[:n].astype(np.uint64) * K.BASE)

@@ -68,7 +68,7 @@ def _stretches(width: int):
                 continue
             prefix = K.prefix_hash(raw)
             gram = np.arange(n - GRAM + 1)
-            h = K.span_hash(prefix, gram, gram + GRAM)
+            h = K.gram_hash(prefix, gram, gram + GRAM)
             key = (h & ~_PLACE) | gram.astype(_U)
             size = -(-len(key) // span) * span
             tiled = np.full(size, ~_U(0))

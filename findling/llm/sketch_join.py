@@ -11,19 +11,24 @@ pieces exactly if their bits are (up to 64-bit hash collisions). The order puts
 sketches share (counted over all sketches in ``COUNTERS`` hashed counters) and pieces without a set bit last, so
 that passages which very many documents contain cause few candidates.
 
-1. one pass measures the sets and counts the pieces; 2. a second pass emits the first ``D + 1`` of every sketch, packed in
+1. One pass measures the sets and counts the pieces; 2. a second pass emits the first ``D + 1`` of every sketch, packed in
 binary blocks for ranges of piece hashes; 3. each range finds the pieces that several different sets share.
-A small group gives all its pairs, a larger one the pairs of its least member with all others; 4. pairs
-that the sizes and a short sketch (four bits a shingle) don't rule out are verified on the whole texts, for each set its nearest partner first and then the pairs that
-still join two components; 5. verified links form components; 6. only groups that still hold several components are compared further, pair by
-pair across components through the short sketches, and what passes is verified as before. No link is lost:
-inside one component a further link changes nothing. Equal sets are one set from step 2 on.
-
-``sketch_links`` and ``link_counts`` give the links themselves: all candidates of step 3, inside components too, are
-verified, and every large group is compared pair by pair.
-
-Null and blank texts have the empty set, link to nothing and are components of their own. Rows with the
-same id are taken as one document each; their components share the id. Extra columns are not read.
+A small group gives all its pairs; larger groups with one least member become one group. 4. Large groups are
+dealt to blocks of bounded size. A block compares its members with one another and with a few pivots of
+the group, by sizes, by parity sketches and then exactly, and gives no more links than join its components (a
+forest). 5. Groups that still hold several components are compared across blocks, the members outside
+the group's largest component with all others, again as forests. So rows stay in proportion to members, and
+only the comparisons inside a task grow with the square of a block. 6. Pairs of small groups that sizes and short sketches
+(four bits a shingle) don't rule out are verified on the whole sets, for each set its nearest partner first and then the
+pairs that still join two components. No link that joins components is lost. Equal sets are one set from step 3 on.
+
+``sketch_links`` and ``link_counts`` give the links themselves: all pairs of step 3 and of all blocks are verified, inside
+components too, so their rows and work grow with the number of links.
+
+Words are hashed with 64 bits, eight bytes at a time; a set's identity has 128 bits. Null and blank texts have the
+empty set, link to nothing and are components of their own. Rows with the same id are documents of their own;
+``component_id`` is the least id among a component's rows. A null id counts as the least and comes out as null. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
@@ -48,8 +53,12 @@ FAN_IN = 64
 #: Least and most bits of a short sketch (about four for each shingle), and the size up to which a group gives all pairs.
 SKETCH_BITS = (256, 1 << 16)
 ALL_PAIRS = 6
-#: Members of a large group that one task compares with as many others.
-GROUP_BLOCK = 2048
+#: Members, and shingles of all members, of one block of a large group; members of each group that visit every block.
+GROUP_BLOCK = 1024
+BLOCK_SHINGLES = 1 << 22
+PIVOTS = 4
+#: What stands for a null id inside.
+NO_ID = -(1 << 63)
 
 _U = np.uint64
 _SHIFT = _U(64 - 22)  # the top bits of a signature are its counter
@@ -63,7 +72,7 @@ def shingle_hashes(raw: np.ndarray, at: np.ndarray, width: int = SHINGLE_WORDS)
     """
     raw = K.LOWER[raw]
     start, end, first = K.words(raw, at)
-    word = K.span_hash(K.prefix_hash(raw), start, end)
+    word = K.span_hash(raw, start, end)
     total = max(0, len(word) - width + 1)
     joined = np.zeros(total, _U)
     for j in range(width):
@@ -141,29 +150,37 @@ def fold(sketch: np.ndarray, size: int) -> np.ndarray:
     return sketch
 
 
-def set_id(hashes: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63)
+def set_key(hashes: np.ndarray) -> bytes:
+    """A set's identity."""
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
+def set_id(key: bytes) -> int:
+    """Half of the identity, which stands for the set in piece blocks; sets that share it are told apart later."""
+    return int.from_bytes(key[:8], "little", signed=True)
 
 
 def _measure(batches):
     """One row for each document, and the counters of the pieces that this task saw."""
     seen = np.zeros(COUNTERS, np.int32)
-    names = ["doc_id", "n_shingles", "set_id", "sketch", "task", "chunk", "counts"]
+    names = ["doc_id", "version", "n_shingles", "set_key", "set_id", "sketch", "task", "chunk", "counts"]
     for batch, raw, at in K.steps(batches):
         sets = shingle_hashes(raw, at)
         got = [pieces(h, c, count)[0] >> _SHIFT for h in sets for c, count, _ in bands(len(h)) if len(h)]
         if got:
             at_, n = np.unique(np.concatenate(got), return_counts=True)
             seen[at_.astype(np.int64)] += n.astype(np.int32)
+        keys = [set_key(h) if len(h) else None for h in sets]
         columns = [
-            batch.column(batch.schema.get_field_index("doc_id")),
+            *(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "version")),
             pa.array([len(h) for h in sets], pa.int64()),
-            pa.array([set_id(h) if len(h) else None for h in sets], pa.int64()),
+            pa.array(keys, pa.binary()),
+            pa.array([None if k is None else set_id(k) for k in keys], pa.int64()),
             pa.array([short_sketch(h) if len(h) else None for h in sets], pa.binary()),
             *(pa.nulls(len(sets), kind) for kind in (pa.int64(), pa.int32(), pa.binary())),
         ]
         yield pa.RecordBatch.from_arrays(columns, names)
-    none = [pa.nulls(CHUNKS, kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+    none = [pa.nulls(CHUNKS, kind) for kind in (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary())]
     chunks = [np.minimum(x, 65535).astype(np.uint16).tobytes() for x in np.split(seen, CHUNKS)]
     task = pa.array([TaskContext.get().partitionId()] * CHUNKS, pa.int64())
     yield pa.RecordBatch.from_arrays([*none, task, pa.array(range(CHUNKS), pa.int32()), pa.array(chunks, pa.binary())], names)
@@ -200,9 +217,12 @@ def _emit(sent, ranges: int):
 
         for _, raw, at in K.steps(batches):
             for h in shingle_hashes(raw, at):
-                for c, count, emit in bands(len(h)) if len(h) else ():
+                if not len(h):
+                    continue
+                own = set_id(set_key(h))
+                for c, count, emit in bands(len(h)):
                     sig = first_pieces(h, c, count, emit, rank)
-                    held.append((sig, np.full(len(sig), set_id(h), np.int64)))
+                    held.append((sig, np.full(len(sig), own, np.int64)))
                     size += len(sig)
             if size > 1_000_000:
                 yield from flush()
@@ -236,10 +256,6 @@ def _groups(keys, table):
                 b.append(sid[at + j])
     for at, n in zip(lo[size > ALL_PAIRS].tolist(), size[size > ALL_PAIRS].tolist(), strict=True):
         large.add(sid[at : at + n].tobytes())
-    for members in large:
-        own = np.frombuffer(members, np.int64)
-        a.append(np.repeat(own[:1], len(own) - 1))
-        b.append(own[1:])
     pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b)), 1), axis=0) if a else np.zeros((0, 2), np.int64)
     groups = sorted(large)
     return pa.table(
@@ -257,37 +273,100 @@ def _spell_out(batches):
     for batch in batches:
         for members in batch.column(0).to_pylist():
             own = np.frombuffer(members, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), own[0])), pa.array(own)], ["grp", "set_id"])
+            pivot = np.arange(len(own)) < PIVOTS
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), own[0])), pa.array(own), pa.array(pivot)], ["grp", "set_id", "pivot"])
+
+
+class _Compared:
+    """The sets of one task, told apart by sizes, by parity sketches and then exactly."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.n = np.array([len(x) for x in sets], np.int64)
+        self.first = np.cumsum(self.n) - self.n
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.flat = flat.astype(np.int32)
+        self.mark = np.zeros(int(self.flat.max(initial=0)) + 1, np.int64)
+        bits = min(max(SKETCH_BITS[0], 1 << (4 * int(self.n.max()) - 1).bit_length()), SKETCH_BITS[1])
+        odd = np.zeros((len(sets), bits), np.uint8)
+        for i, x in enumerate(sets):
+            odd[i] = np.bincount((x & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+        self.sketch = np.packbits(odd, axis=1).view(np.uint64)
+
+    def linked(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that link to i."""
+        least, most = np.minimum(self.n[others], self.n[i]), np.maximum(self.n[others], self.n[i])
+        others = others[least * 100 >= most * MIN_SIMILARITY]
+        # The symmetric difference of a linked pair, by the sizes of both.
+        limit = (self.n[others] + self.n[i]) * (100 - MIN_SIMILARITY) // (100 + MIN_SIMILARITY)
+        others = others[np.bitwise_count(self.sketch[others] ^ self.sketch[i]).sum(1) <= limit]
+        if not len(others):
+            return others
+        own = self.flat[self.first[i] : self.first[i] + self.n[i]]
+        self.mark[own] = 1
+        size = self.n[others]
+        ends = np.cumsum(size)
+        both = np.add.reduceat(self.mark[self.flat[np.repeat(self.first[others] - (ends - size), size) + np.arange(ends[-1])]], ends - size)
+        self.mark[own] = 0
+        return others[100 * both >= MIN_SIMILARITY * (size + self.n[i] - both)]
+
+
+def _rows(table, extra: list[str]):
+    """Nodes, their sets and further columns of a group's rows, each (node, role) once."""
+    node, driver = table.column("node").to_numpy(), table.column("driver").to_numpy(zero_copy_only=False)
+    _, at = np.unique(np.stack((node, driver.astype(np.int64))), axis=1, return_index=True)
+    hashes = table.column("hashes").combine_chunks()
+    return node[at], driver[at], [np.frombuffer(hashes[i].as_buffer(), _U) for i in at.tolist()], [table.column(c).to_numpy()[at] for c in extra]
+
+
+def _forest(keys, table):
+    """Links that join the components of the members of one block."""
+    node, _, sets, _ = _rows(table, [])
+    got, label = _Compared(sets), np.arange(len(node))
+    fresh = np.ones(len(node), bool)  # not yet compared with all others
+    a, b, todo = [], [], []
+    for start in range(len(node)):
+        todo.append(start)
+        while todo:  # from link to link, so that large components close early
+            i = todo.pop()
+            if not fresh[i]:
+                continue
+            fresh[i] = False
+            for j in got.linked(i, np.flatnonzero(fresh & (label != label[i]))).tolist():
+                if label[j] != label[i]:
+                    a.append(i)
+                    b.append(j)
+                    label[label == label[j]] = label[i]
+                    todo.append(j)
+    return pa.table({"a": pa.array(node[a], pa.int64()) if a else pa.array([], pa.int64()), "b": pa.array(node[b], pa.int64()) if b else pa.array([], pa.int64())})
 
 
 def _across(keys, table):
-    """Pairs of one group (or two blocks of it) across components that sizes and short sketches allow."""
-    sid, comp, n, block = (table.column(c).to_numpy() for c in ("set_id", "component", "n", "block"))
-    one = keys[1].as_py() == keys[2].as_py()
-    own = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("sketch").combine_chunks()]
-    width = np.array([len(x) for x in own])
-    folded = {}
-    for k in np.unique(width).tolist():
-        at = np.flatnonzero(width >= k)
-        row = np.full(len(own), -1)
-        row[at] = np.arange(len(at))
-        folded[k] = (row, np.stack([fold(own[i], k) for i in at.tolist()]))
+    """Links that join components between some members of a group and a block of all its members."""
+    node, driver, sets, (component,) = _rows(table, ["component"])
+    got = _Compared(sets)
+    _, label = np.unique(component, return_inverse=True)
+    a, b = [], []
+    for i in np.flatnonzero(driver).tolist():
+        for j in got.linked(i, np.flatnonzero(~driver & (label != label[i]))).tolist():
+            if label[j] != label[i]:
+                a.append(i)
+                b.append(j)
+                label[label == label[j]] = label[i]
+    return pa.table({"a": pa.array(node[a], pa.int64()) if a else pa.array([], pa.int64()), "b": pa.array(node[b], pa.int64()) if b else pa.array([], pa.int64())})
+
+
+def _all_links(keys, table):
+    """All links between two blocks of a group, or within one."""
+    node, _, sets, (block,) = _rows(table, ["block"])
+    got, one = _Compared(sets), keys[1].as_py() == keys[2].as_py()
     a, b = [], []
-    for i in range(len(sid) - 1):
-        other = comp[i + 1 :] != comp[i]
-        rest = np.flatnonzero(other if one else other & (block[i + 1 :] != block[i])) + i + 1
-        least, most = np.minimum(n[rest], n[i]), np.maximum(n[rest], n[i])
-        rest = rest[least * 100 >= most * MIN_SIMILARITY]
-        common = np.minimum(width[rest], width[i])
-        for k in np.unique(common).tolist():
-            at = rest[common == k]
-            row, bits = folded[k]
-            far = np.bitwise_count(bits[row[at]] ^ bits[row[i]]).sum(1)
-            at = at[far <= np.minimum(n[at], n[i]) * (100 - MIN_SIMILARITY) // MIN_SIMILARITY]
-            a.append(np.full(len(at), sid[i]))
-            b.append(sid[at])
+    for i in range(len(node) - 1):
+        rest = np.arange(i + 1, len(node))
+        found = got.linked(i, rest if one else rest[block[rest] != block[i]])
+        a.append(np.full(len(found), node[i]))
+        b.append(node[found])
     a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
 def _near(batches):
@@ -303,167 +382,194 @@ def _near(batches):
             p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
             size = min(len(p), len(q))
             far[i] = int(np.bitwise_count(fold(p, size) ^ fold(q, size)).sum())
-        ok &= far <= least * (100 - MIN_SIMILARITY) // MIN_SIMILARITY
-        yield batch.select(["a", "b", "doc_a", "doc_b"]).append_column("far", pa.array(far)).filter(pa.array(ok))
-
+        ok &= far <= (n_a + n_b) * (100 - MIN_SIMILARITY) // (100 + MIN_SIMILARITY)
+        yield batch.select(["a", "b"]).append_column("far", pa.array(far)).filter(pa.array(ok))
 
-def _verify(batches, named: bool = False):
-    """Exact test of pairs of whole texts; the shingles of a text that comes again and again are kept.
 
-    With ``named`` the texts must also be those of the pair's sets (an id may have several texts).
-    """
-    last, own = None, None
+def _verify(batches):
+    """Exact test of pairs of whole sets."""
     for batch in batches:
-        a, b = batch.column(0), batch.column(1)
-        x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("text_a", "text_b"))
+        x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("hashes_a", "hashes_b"))
         good = []
-        ids, others = a.to_pylist(), b.to_pylist()
         for i in range(batch.num_rows):
-            if named or last != ids[i]:
-                last, own = ids[i], shingle_hashes(*K.flatten(x.slice(i, 1)))[0]
-            other = shingle_hashes(*K.flatten(y.slice(i, 1)))[0]
-            both = len(np.intersect1d(own, other, assume_unique=True))
-            good.append(100 * both >= MIN_SIMILARITY * (len(own) + len(other) - both) and both > 0 and (not named or (set_id(own) == ids[i] and set_id(other) == others[i])))
-        yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            p, q = np.frombuffer(x[i].as_buffer(), _U), np.frombuffer(y[i].as_buffer(), _U)
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            good.append(100 * both >= MIN_SIMILARITY * (len(p) + len(q) - both))
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _candidates(docs: DataFrame, space: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The measured documents, the pairs and large groups that share a piece, and the distinct sets."""
+def _shingled(batches):
+    """The shingles of nodes' texts; an id may have further texts, which are not the node's."""
+    for batch, raw, at in K.steps(batches):
+        sets = shingle_hashes(raw, at)
+        keys = batch.column(batch.schema.get_field_index("set_key")).to_pylist()
+        own = [len(h) > 0 and set_key(h) == k for h, k in zip(sets, keys, strict=True)]
+        node = batch.column(batch.schema.get_field_index("node")).filter(pa.array(own, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([node, pa.array([h.tobytes() for h, x in zip(sets, own, strict=True) if x], pa.binary())], ["node", "hashes"])
+
+
+class _Candidates:
+    """Steps 1 to 3 of the join, and the sets of the documents that take part in what follows."""
+
+    def __init__(self, docs: DataFrame, space: Workspace):
+        self.space = space
+        spark = docs.sparkSession
+        kind = "doc_id long, version long, n_shingles long, set_key binary, set_id long, sketch binary, task long, chunk int, counts binary"
+        measured = space.save(docs.mapInArrow(_measure, kind), "measured")
+        self.rows = measured.where("chunk is null").select("doc_id", "version", "n_shingles", "set_key", "set_id", "sketch")
+        counts = measured.where("chunk is not null").select("task", "chunk", "counts")
+        tasks = 1 + (counts.agg(F.max("task")).first()[0] or 0)
+        while True:
+            tasks = -(-tasks // FAN_IN)
+            counts = counts.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("chunk", "task").applyInArrow(_add, "task long, chunk int, counts binary")
+            if tasks <= 1:
+                break
+        merged = {r["chunk"]: np.frombuffer(r["counts"], np.uint16) for r in counts.collect()}  # CHUNKS rows, whatever the input
+        count = np.concatenate([merged.get(c, np.zeros(COUNTERS // CHUNKS, np.uint16)) for c in range(CHUNKS)])
+        rank = spark.sparkContext.broadcast(np.round(8 * np.log2(count + 1.0)).astype(np.uint8))  # COUNTERS bytes
+
+        ranges = spread(docs, 6 << 20)
+        blocks = docs.select("text").mapInArrow(_emit(rank, ranges), "range int, block binary")
+        found = space.save(blocks.groupBy("range").applyInArrow(_groups, "a long, b long, members binary"), "found")
+        sets = self.rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.first("set_id").alias("set_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+        self.sets = space.save(sets.withColumn("node", F.monotonically_increasing_id()), "sets")  # numbered once, as it is written
+
+        of = lambda side: self.sets.select(F.col("set_id").alias(f"id_{side}"), F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
+        pairs = found.where("a is not null").select(F.col("a").alias("id_a"), F.col("b").alias("id_b")).distinct()
+        self.pairs = space.save(pairs.join(of("b"), "id_b").join(of("a"), "id_a").mapInArrow(_near, "a long, b long, far long"), "near")
+        members = found.where("members is not null").select("members").distinct().mapInArrow(_spell_out, "grp long, set_id long, pivot boolean")
+        members = members.groupBy("grp", "set_id").agg(F.max("pivot").alias("pivot"))
+        self.members = space.save(members.join(self.sets.select("set_id", "node", "n"), "set_id").select("grp", "node", "n", "pivot"), "members")
+        size = self.members.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / GROUP_BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        self.sizes = space.save(size, "sizes")
+
+        part = self.members.select("node").union(self.pairs.select("a")).union(self.pairs.select("b")).distinct()
+        wanted = part.join(self.sets.select("node", "doc", "set_key"), "node")
+        texts = docs.where("text is not null").select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc")
+        self.shingled = space.save(texts.select("node", "set_key", "text").mapInArrow(_shingled, "node long, hashes binary").dropDuplicates(["node"]), "shingled")
+
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        of = lambda side: self.shingled.select(F.col("node").alias(side), F.col("hashes").alias(f"hashes_{side}"))
+        return self.space.save(pairs.select("a", "b").join(of("b"), "b").join(of("a"), "a").mapInArrow(_verify, "a long, b long"), name)
+
+    def blocked(self) -> DataFrame:
+        """Members of large groups with their block, and the number of blocks of their group."""
+        dealt = self.members.join(self.sizes, "grp")
+        return dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """Adds to rows of nodes their component; a node without links is its own."""
+    return rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _components(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame, Workspace]:
+    """The measured rows, and ``(set_key, component)`` of every set."""
     spark = docs.sparkSession
-    kind = "doc_id long, n_shingles long, set_id long, sketch binary, task long, chunk int, counts binary"
-    measured = space.save(docs.mapInArrow(_measure, kind), "measured")
-    rows = measured.where("chunk is null").select("doc_id", "n_shingles", "set_id", "sketch")
-    counts = measured.where("chunk is not null").select("task", "chunk", "counts")
-    tasks = 1 + (counts.agg(F.max("task")).first()[0] or 0)
-    while True:
-        tasks = -(-tasks // FAN_IN)
-        counts = counts.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("chunk", "task").applyInArrow(_add, "task long, chunk int, counts binary")
-        if tasks <= 1:
-            break
-    merged = {r["chunk"]: np.frombuffer(r["counts"], np.uint16) for r in counts.collect()}  # CHUNKS rows, whatever the input
-    count = np.concatenate([merged.get(c, np.zeros(COUNTERS // CHUNKS, np.uint16)) for c in range(CHUNKS)])
-    rank = spark.sparkContext.broadcast(np.round(8 * np.log2(count + 1.0)).astype(np.uint8))  # COUNTERS bytes
-
-    ranges = spread(docs, 6 << 20)
-    blocks = docs.select("text").mapInArrow(_emit(rank, ranges), "range int, block binary")
-    found = space.save(blocks.groupBy("range").applyInArrow(_groups, "a long, b long, members binary"), "found")
-    sets = space.save(
-        rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")),
-        "sets",
-    )
-    return rows, found, sets
-
-
-def _allowed_pairs(pairs: DataFrame, sets: DataFrame, space: Workspace, name: str) -> DataFrame:
-    """The pairs that sizes and short sketches don't rule out."""
-    left = sets.select(F.col("set_id").alias("a"), F.col("doc").alias("doc_a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("doc").alias("doc_b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    return space.save(pairs.join(right, "b").join(left, "a").mapInArrow(_near, "a long, b long, doc_a long, doc_b long, far long"), name)
-
-
-def _with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs and the texts of their documents."""
-    texts = docs.where("text is not null")
-    one = pairs.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b")), "doc_b")
-    two = one.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), "doc_a")
-    return two.select("a", "b", "text_a", "text_b")
-
-
-def _group_members(found: DataFrame) -> DataFrame:
-    return found.where("members is not null").select("members").distinct().mapInArrow(_spell_out, "grp long, set_id long").distinct()
+    space = Workspace(spark, "sketch-join")
+    own_text = F.col(text).cast("string")
+    docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), own_text.alias("text"), F.xxhash64(own_text).alias("version"))
+    got = _Candidates(docs, space)
+    link = "a long, b long"
+    links = spark.createDataFrame([], link)
+    label = spark.createDataFrame([], "node long, component long")
+    if not got.sizes.isEmpty():
+        blocked = got.blocked()
+        every = F.sequence(F.lit(0), F.col("blocks") - 1)
+        visits = blocked.withColumn("block", F.explode(F.when(F.col("pivot") & (F.col("blocks") > 1), every).otherwise(F.array("block"))))
+        inside = visits.select("grp", "block", "node", F.lit(False).alias("driver")).join(got.shingled, "node").groupBy("grp", "block").applyInArrow(_forest, link)
+        links = space.save(inside, "inside")
+        label = components(space, links, "inside")
+        many = _labelled(blocked.where("blocks > 1").select("grp", "block", "blocks", "node"), label)
+        many = space.save(many, "many")
+        parts = many.groupBy("grp", "component").agg(F.count("*").alias("size"))
+        main = parts.groupBy("grp").agg(F.max_by("component", F.struct("size", "component")).alias("main"), (F.sum("size") - F.max("size")).alias("outside")).where("outside > 0")
+        main = space.save(main.select("grp", "main", F.ceil(F.col("outside") / GROUP_BLOCK).cast("int").alias("out_blocks")), "main")
+        if not main.isEmpty():
+            opened = many.join(main, "grp")
+            out_block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("out_blocks")).cast("int").alias("out_block")
+            drivers = opened.where("component <> main").select("grp", out_block, F.explode(every).alias("block"), "node", "component", F.lit(True).alias("driver"))
+            targets = opened.select("grp", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("out_block"), "block", "node", "component", F.lit(False).alias("driver"))
+            far = drivers.union(targets).join(got.shingled, "node").groupBy("grp", "out_block", "block").applyInArrow(_across, link)
+            links = links.union(space.save(far, "far"))
+            label = components(space, links, "far")
+    # Pairs of small groups, for each set its nearest partner first.
+    nearest = got.pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select("best.a", "b")
+    for turn, pairs in enumerate((nearest, got.pairs.select("a", "b"))):
+        of = lambda side, label=label: label.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+        pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+        pairs = space.save(pairs, f"pairs-{turn}")
+        if not pairs.isEmpty():
+            links = links.union(got.verified(pairs, f"links-{turn}"))
+            label = components(space, links, f"pairs-{turn}")
+    return got.rows, _labelled(got.sets.select("node", "set_key", "doc"), label), space
+
+
+def _named(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, Workspace]:
+    """Measured rows with ``component`` (null without shingles) and ``component_id``."""
+    rows, sets, space = _components(docs, text, doc_id)
+    of_set = space.save(sets, "of-set")
+    least = space.save(of_set.groupBy("component").agg(F.min("doc").alias("component_id")), "least")  # plain tables, so that hot components can be split
+    named = space.save(of_set.join(least, "component").select("set_key", "component", "component_id"), "named")
+    rows = rows.select("doc_id", "version", "n_shingles", "set_key")
+    blank = rows.where("set_key is null").select("doc_id", "version", "n_shingles", "set_key", F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id"))
+    return rows.where("set_key is not null").join(named, "set_key").select(blank.columns).union(blank), space
 
 
-def _compared(known: DataFrame, open_groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs across components of the open groups. A group beyond one block is compared block by block, so no task
-    holds more than two blocks of it."""
-    left = known.join(open_groups, "grp").join(sets.select("set_id", "n", "sketch"), "set_id")
-    left = left.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).select("grp", "x", "y", "block", "set_id", "component", "n", "sketch")
-    return left.groupBy("grp", "x", "y").applyInArrow(_across, "a long, b long").distinct()
+def _shown(column: str) -> Column:
+    return F.when(F.col(column) != NO_ID, F.col(column)).alias(column)
 
 
 def sketch_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Rows ``(doc_id, n_shingles, component_id)``, one for each row of ``docs``."""
-    spark = docs.sparkSession
-    space = Workspace(spark, "sketch-join")
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows, found, sets = _candidates(docs, space)
-
-    def near(pairs: DataFrame, name: str) -> DataFrame:
-        return _allowed_pairs(pairs, sets, space, name)
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        return space.save(_with_texts(pairs, docs).mapInArrow(_verify, "a long, b long"), name)
-
-    def linked(pairs: DataFrame, links: DataFrame | None, label: DataFrame | None, name: str) -> tuple[DataFrame, DataFrame]:
-        """Verifies candidate pairs: first the nearest partner of each set, then what still joins components."""
-        nearest = space.save(pairs.groupBy("b").agg(F.min(F.struct("far", "a", "doc_a", "doc_b")).alias("best")).select("best.a", "b", "best.doc_a", "best.doc_b"), f"{name}-nearest")
-        for turn, some in enumerate((nearest, pairs.select("a", "b", "doc_a", "doc_b").join(nearest, ["a", "b"], "left_anti"))):
-            if label is not None:
-                of = lambda side, label=label: label.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
-                some = some.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).drop("of_a", "of_b")
-            some = space.save(some, f"{name}-{turn}")
-            if some.isEmpty():
-                continue
-            more = verified(some, f"{name}-links-{turn}")
-            links = more if links is None else links.union(more)
-            label = components(space, links, f"{name}-{turn}")
-        return links, label
-
-    pairs = near(found.where("a is not null").select("a", "b").distinct(), "near")
-    links, label = linked(pairs, None, None, "first")
-    if label is None:  # no candidates at all
-        links, label = spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "node long, component long")
-    grouped = _group_members(found)
-    if not grouped.isEmpty():
-        known = grouped.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").select("grp", "set_id", F.coalesce("component", "set_id").alias("component"))
-        known = space.save(known, "members")
-        open_groups = known.groupBy("grp").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-        open_groups = space.save(open_groups.select("grp", F.ceil(F.col("size") / GROUP_BLOCK).cast("int").alias("blocks")), "open")
-        more = _compared(known, open_groups, sets)
-        more = space.save(more, "across")
-        if not more.isEmpty():
-            links, label = linked(near(more.join(pairs, ["a", "b"], "left_anti"), "near-across"), links, label, "second")
-    of_set = sets.join(label.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc", F.coalesce("component", "set_id").alias("component"))
-    of_set = space.save(of_set, "of-set")
-    least = space.save(of_set.groupBy("component").agg(F.min("doc").alias("component_id")), "least")  # plain tables, so that hot components can be split
-    named = of_set.join(least, "component").select("set_id", "component_id")
-    return rows.join(named, "set_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _named(docs, text, doc_id)[0].select(_shown("doc_id"), "n_shingles", _shown("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, less all but the one with the least id of every component; columns as they are."""
-    best = sketch_join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(best, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
-
+    """The documents, less all but one row of every component; columns as they are.
 
-def _links(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The measured documents, the distinct sets, and all links ``(a, b)`` of different sets."""
+    The row with the least id stays; of several rows with that id the one whose text has the least hash, and of rows
+    with that id and text any one. Rows without shingles all stay.
+    """
+    rows, space = _named(docs, "text", "doc_id")
+    linked = space.save(rows.where("component is not null").select("doc_id", "version", "component"), "linked")
+    best = linked.groupBy("component").agg(F.min(F.struct("doc_id", "version")).alias("best"))
+    gone = linked.join(best, "component").where("best.doc_id <> doc_id or best.version <> version").select(F.col("doc_id").alias("__d"), F.col("version").alias("__v")).distinct()
+    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__version": F.xxhash64(F.col("text").cast("string"))})
+    kept = keyed.join(gone, (F.col("__doc") == F.col("__d")) & (F.col("__version") == F.col("__v")), "left_anti")
+    again = space.save(linked.groupBy(F.col("doc_id").alias("__d"), F.col("version").alias("__v")).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n"), "again")
+    if not again.isEmpty():
+        same = (F.col("__doc") == F.col("__d")) & (F.col("__version") == F.col("__v"))
+        one = kept.join(again, same, "left_semi").groupBy("__doc", "__version").agg(F.first(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+        return kept.join(again, same, "left_anti").select(*docs.columns).union(one)
+    return kept.select(*docs.columns)
+
+
+def _links(docs: DataFrame, text: str, doc_id: str) -> tuple[_Candidates, DataFrame]:
+    """The candidates, and all links ``(a, b)`` of different sets by their nodes."""
     space = Workspace(docs.sparkSession, "sketch-links")
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows, found, sets = _candidates(docs, space)
-    known = space.save(_group_members(found).withColumn("component", F.col("set_id")), "members")
-    groups = space.save(known.groupBy("grp").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("blocks")), "open")
-    compared = _compared(known, groups, sets)
-    few = found.where("a is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = _allowed_pairs(space.save(few.union(compared).distinct(), "pairs"), sets, space, "near")
-    links = _with_texts(pairs, docs).mapInArrow(lambda batches: _verify(batches, named=True), "a long, b long")
-    return rows, sets, space.save(links.distinct(), "links")
+    own_text = F.col(text).cast("string")
+    got = _Candidates(docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), own_text.alias("text"), F.xxhash64(own_text).alias("version")), space)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    both = got.blocked().withColumn("other", other).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other"), "driver": F.lit(False)})
+    inside = both.select("grp", "x", "y", "block", "node", "driver").join(got.shingled, "node").groupBy("grp", "x", "y").applyInArrow(_all_links, "a long, b long")
+    few = got.verified(got.pairs, "few").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return got, space.save(few.union(inside).distinct(), "links")
 
 
 def sketch_links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Rows ``(a, b)``: every link of two different sets, by the least document of each; ``a <= b``."""
-    _, sets, links = _links(docs, text, doc_id)
-    of = lambda side: sets.select(F.col("set_id").alias(side), F.col("doc").alias(f"doc_{side}"))
-    named = links.join(of("a"), "a").join(of("b"), "b")
-    return named.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
+    got, links = _links(docs, text, doc_id)
+    of = lambda side: got.sets.select(F.col("node").alias(side), F.col("doc").alias(f"doc_{side}"))
+    named = links.join(of("a"), "a").join(of("b"), "b").select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
+    return named.select(_shown("a"), _shown("b"))
 
 
 def link_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Rows ``(doc_id, n_links)``, one for each row of ``docs``: how many other rows it links to, equal sets among them."""
-    rows, _, links = _links(docs, text, doc_id)
-    size = rows.where("set_id is not null").groupBy("set_id").agg(F.count("*").alias("size"))
+    got, links = _links(docs, text, doc_id)
+    size = got.rows.where("set_key is not null").groupBy("set_key").agg(F.count("*").alias("size")).join(got.sets.select("set_key", "node"), "set_key")
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    far = both.join(size.withColumnRenamed("set_id", "b"), "b").groupBy(F.col("a").alias("set_id")).agg(F.sum("size").alias("far"))
-    total = size.join(far, "set_id", "left").select("set_id", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
-    return rows.join(total, "set_id", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    far = both.join(size.select(F.col("node").alias("b"), "size"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("size").alias("far"))
+    total = size.join(far, "node", "left").select("set_key", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    return got.rows.join(total, "set_key", "left").select(_shown("doc_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

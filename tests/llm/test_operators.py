@@ -87,6 +87,55 @@ def test_sketch_join_odd_tables(spark, nothing):
     assert {r["doc_id"] for r in sketch_join.one_of_each(twice).collect()} == {1, None}
 
 
+def test_sketch_join_below_the_threshold(spark, monkeypatch):
+    """Many variants of one text whose similarities lie about the threshold: pieces are shared, few pairs link."""
+    monkeypatch.setattr(sketch_join, "GROUP_BLOCK", 24)
+    monkeypatch.setattr(sketch_join, "PIVOTS", 1)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(150):
+        own = list(base)
+        for at in rng.sample(range(150), rng.choice((2, 4, 4, 5, 5, 6))):
+            own[at] = f"x{i}_{at}"
+        texts.append((i, " ".join(own)))
+    expected = brute.components(texts)
+    assert 1 < len({c for _, c in expected.values()}) < 150
+    got = {i: (r["n_shingles"], r["component_id"]) for i, r in table(sketch_join.sketch_join(spark.createDataFrame(texts, "doc_id long, text string").repartition(4))).items()}
+    assert got == expected
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+def test_equality_does_not_rest_on_a_rolling_hash(spark):
+    """Thue-Morse words and their complements share every polynomial hash modulo a power of two."""
+    texts = [(0, thue_morse(1024)), (1, thue_morse(1024, 1)), (2, thue_morse(64)), (3, thue_morse(64, 1))]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in table(sketch_join.sketch_join(frame)).items()} == brute.components(texts)
+    raw, at = K.flatten(pa.array([t for _, t in texts]))
+    assert len(np.unique(K.span_hash(raw, at[:-1], at[1:]))) == 4
+    both = f"{thue_morse(1024)}\n{thue_morse(1024, 1)}\n" + words(random.Random(1), 60)
+    assert quality.statistics(*K.flatten(pa.array([both])))["n_dup_lines"].tolist() == [0]
+    codec = bpe.codec(PATH)
+    expected = [x.ids for x in bpe.library(PATH).encode_batch([t for _, t in texts], add_special_tokens=False)]
+    for chunked in (False, True):
+        codec.clear()
+        ids, of = codec.encode(raw, at, chunked=chunked)
+        assert [ids[a:b].tolist() for a, b in zip(of[:-1], of[1:], strict=True)] == expected
+
+
+def test_one_of_each_decides_by_row(spark):
+    a, b, c = (words(random.Random(i), 80) for i in range(3))
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (8, None), (8, None), (None, b), (None, b)]
+    kept = sorted(((r["doc_id"] or 0), r["text"] or "") for r in sketch_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert kept == sorted([(1, a), (0, b), (7, c), (8, ""), (8, "")])
+    rows = rows[:5]
+    kept = sorted(map(tuple, sketch_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert kept == sorted([(1, a), (5, b), (7, c)])
+
+
 def test_parity_sketch_bounds():
     rng = np.random.default_rng(0)
     for n in (3, 10, 200, 3000):

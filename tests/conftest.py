@@ -27,26 +27,28 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-#: Ten stories with tokens of interest in their titles.
-STORIES = [
-    ("doc-1", "Show HN: Rust search engine", "alice", 250, 45, "rust"),
-    ("doc-2", "Rust vs Go", "alice", 180, 92, "rust"),
-    ("doc-3", "Rust for systems", "alice", 120, 30, "rust"),
-    ("doc-4", "Python 4.0 is here", "bob", 500, 200, "python"),
-    ("doc-5", "Machine learning with Python", "bob", 300, 150, "python"),
-    ("doc-6", "Deep learning today", "carol", 400, 80, "ml"),
-    ("doc-7", "GPT-5 announced", "carol", 1000, 500, "ml"),
-    ("doc-8", "Startup funding", "dave", 50, 20, "startup"),
-    ("doc-9", "My startup uses Rust", "dave", 150, 35, "rust"),
-    ("doc-10", "Remote work", "eve", 800, 600, "culture"),
+#: A ship's log: a text field, two keywords and two numbers.
+VOYAGES = [
+    ("v01", "Calm seas and a slow morning", "ines", 42, 9, "lagos"),
+    ("v02", "Storm warning near the cape", "ines", 118, 21, "sagres"),
+    ("v03", "Fog at the harbour mouth, slow going", "jonas", 17, 6, "kiel"),
+    ("v04", "Second storm of the week", "jonas", 260, 40, "kiel"),
+    ("v05", "Whales seen off the cape", "mara", 75, 14, "sagres"),
+    ("v06", "Engine trouble, towed to harbour", "mara", 8, 5, "lagos"),
+    ("v07", "Night crossing under a full moon", "mara", 310, 52, "brest"),
+    ("v08", "Storm-bound in harbour", "otto", 3, 2, "brest"),
+    ("v09", "Fast reach with following wind", "otto", 190, 23, "brest"),
+    ("v10", "Light wind, drifting past the lighthouse", "pia", 29, 11, "kiel"),
+    ("v11", "Fog again; whales heard, not seen", "pia", 55, 16, "brest"),
+    ("v12", "Race day: fast start, slow finish", "quinn", 96, 12, "lagos"),
 ]
 
 
 @pytest.fixture(scope="session")
-def stories(spark):
+def voyages(spark):
     from findling import Catalog
 
-    frame = spark.createDataFrame(STORIES, "_id string, title string, author string, upvotes long, comments long, category string")
+    frame = spark.createDataFrame(VOYAGES, "_id string, log string, skipper string, miles long, hours long, harbour string")
     catalog = Catalog(spark)
-    catalog.register("stories", frame, ("title",))
+    catalog.register("voyages", frame, ("log",))
     return catalog

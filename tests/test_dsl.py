@@ -10,51 +10,52 @@ from findling.errors import IllegalArgument, ParsingError
 from findling.functions.query_string import analyse
 from findling.operators import translate
 
-from .conftest import STORIES
+from .conftest import VOYAGES
 
 
 def ids(result):
     return [r["_id"] for r in result.hits.collect()]
 
 
-def found(stories, query):
-    return sorted(ids(stories.index("stories").search({"query": query, "size": 100})))
+def found(voyages, query):
+    return sorted(ids(voyages.index("voyages").search({"query": query, "size": 100})))
 
 
 @pytest.mark.parametrize(
     ("query", "expected"),
     [
-        ({"match": {"title": "rust learning"}}, ["doc-1", "doc-2", "doc-3", "doc-5", "doc-6", "doc-9"]),
-        ({"match": {}}, [s[0] for s in STORIES]),
-        ({"term": {"title": "rust"}}, ["doc-1", "doc-2", "doc-3", "doc-9"]),
-        ({"term": {"title": "Rust"}}, []),
-        ({"term": {"author": "eve"}}, ["doc-10"]),
-        ({"term": {"upvotes": "500"}}, ["doc-4"]),
-        ({"range": {"upvotes": {"gt": 400, "gte": 1, "lt": 1000}}}, ["doc-10", "doc-4"]),
-        ({"prefix": {"title": "start"}}, ["doc-8", "doc-9"]),
-        ({"wildcard": {"title": "p?th*"}}, ["doc-4", "doc-5"]),
-        ({"wildcard": {"author": "a*"}}, ["doc-1", "doc-2", "doc-3"]),
-        ({"fuzzy": {"title": {"value": "rsut"}}}, ["doc-1", "doc-2", "doc-3", "doc-9"]),
-        ({"fuzzy": {"title": {"value": "pyhton", "fuzziness": 1}}}, ["doc-4", "doc-5"]),
-        ({"fuzzy": {"title": {"value": "rust", "fuzziness": 0}}}, ["doc-1", "doc-2", "doc-3", "doc-9"]),
-        ({"fuzzy": {"title": {"value": "strtaup", "fuzziness": 2}}}, ["doc-8", "doc-9"]),
-        ({"bool": {"should": [{"term": {"author": "eve"}}, {"term": {"author": "bob"}}]}}, ["doc-10", "doc-4", "doc-5"]),
-        ({"bool": {"must": [{"match": {"title": "rust"}}], "must_not": [{"term": {"author": "alice"}}]}}, ["doc-9"]),
-        ({"bool": {"must_not": [{"term": {"author": "alice"}}]}}, []),
-        ({"bool": {}}, [s[0] for s in STORIES]),
-        ({"match": {"unknown": "carol"}}, ["doc-6", "doc-7"]),
+        ({"match": {"log": "fog moon"}}, ["v03", "v07", "v11"]),
+        ({"match": {}}, [v[0] for v in VOYAGES]),
+        ({"term": {"log": "harbour"}}, ["v03", "v06", "v08"]),
+        ({"term": {"log": "Harbour"}}, []),
+        ({"term": {"skipper": "quinn"}}, ["v12"]),
+        ({"term": {"hours": "21"}}, ["v02"]),
+        ({"range": {"miles": {"gt": 96, "gte": 1, "lt": 260}}}, ["v02", "v09"]),
+        ({"prefix": {"log": "light"}}, ["v10"]),
+        ({"prefix": {"log": "s"}}, ["v01", "v02", "v03", "v04", "v05", "v08", "v11", "v12"]),
+        ({"wildcard": {"log": "w?nd"}}, ["v09", "v10"]),
+        ({"wildcard": {"harbour": "*gos"}}, ["v01", "v06", "v12"]),
+        ({"fuzzy": {"log": {"value": "sotrm"}}}, ["v02", "v04", "v08"]),
+        ({"fuzzy": {"log": {"value": "whale", "fuzziness": 1}}}, ["v05", "v11"]),
+        ({"fuzzy": {"log": {"value": "fgo", "fuzziness": 0}}}, []),
+        ({"fuzzy": {"log": {"value": "harobur", "fuzziness": 2}}}, ["v03", "v06", "v08"]),
+        ({"bool": {"should": [{"term": {"skipper": "quinn"}}, {"term": {"harbour": "sagres"}}]}}, ["v02", "v05", "v12"]),
+        ({"bool": {"must": [{"match": {"log": "storm"}}], "must_not": [{"term": {"harbour": "kiel"}}]}}, ["v02", "v08"]),
+        ({"bool": {"must_not": [{"term": {"skipper": "mara"}}]}}, []),
+        ({"bool": {}}, [v[0] for v in VOYAGES]),
+        ({"match": {"unknown": "otto"}}, ["v08", "v09"]),
     ],
 )
-def test_clauses(stories, query, expected):
-    assert found(stories, query) == sorted(expected)
+def test_clauses(voyages, query, expected):
+    assert found(voyages, query) == sorted(expected)
 
 
-def test_bad_requests(stories):
-    index = stories.index("stories")
-    for query in ({"nope": {}}, {"bool": {"musst": []}}, {"fuzzy": {"title": {"value": "x", "fuzziness": 3}}}, {"match": {"title": "("}}, {"match": {"title": "a AND"}}):
+def test_bad_requests(voyages):
+    index = voyages.index("voyages")
+    for query in ({"nope": {}}, {"bool": {"musst": []}}, {"fuzzy": {"log": {"value": "x", "fuzziness": 3}}}, {"match": {"log": "("}}, {"match": {"log": "fog AND"}}):
         with pytest.raises(ParsingError):
             index.search({"query": query})
-    for request in ({"search_after": [1]}, {"sort": ["upvotes"], "search_after": [1, 2]}, {"sort": ["upvotes"], "search_after": [1], "from": 2}, {"sort": ["_score"], "search_after": [1]}, {"sort": ["nothing"]}):
+    for request in ({"search_after": [1]}, {"sort": ["hours"], "search_after": [1, 2]}, {"sort": ["hours"], "search_after": [1], "from": 2}, {"sort": ["_score"], "search_after": [1]}, {"sort": ["nothing"]}):
         with pytest.raises(IllegalArgument):
             index.search(request)
 
@@ -77,12 +78,12 @@ def test_paging_with_ties_loses_nothing(spark):
         assert sorted(seen) == [r[0] for r in rows] and len(seen) == 60
 
 
-def test_aggregations(stories):
-    result = stories.index("stories").search({"size": 0, "aggs": {"by": {"terms": {"field": "author", "size": 2}}, "s": {"stats": {"field": "upvotes"}}, "h": {"histogram": {"field": "upvotes", "interval": 250}}, "none": {"sum": {"field": "missing"}}}})
-    assert result.hits.count() == 0 and result.total() == 10
-    assert [tuple(r) for r in result.aggs["by"].collect()] == [("alice", 3), ("bob", 2)]
-    assert tuple(result.aggs["s"].first()) == (10, 50.0, 1000.0, 375.0, 3750.0)
-    assert [tuple(r) for r in result.aggs["h"].collect()] == [(0.0, 4), (250.0, 3), (500.0, 1), (750.0, 1), (1000.0, 1)]
+def test_aggregations(voyages):
+    result = voyages.index("voyages").search({"size": 0, "aggs": {"by": {"terms": {"field": "harbour", "size": 2}}, "s": {"stats": {"field": "miles"}}, "h": {"histogram": {"field": "hours", "interval": 20}}, "none": {"sum": {"field": "missing"}}}})
+    assert result.hits.count() == 0 and result.total() == 12
+    assert [tuple(r) for r in result.aggs["by"].collect()] == [("brest", 4), ("kiel", 3)]
+    assert tuple(result.aggs["s"].first()) == (12, 3.0, 310.0, 100.25, 1203.0)
+    assert [tuple(r) for r in result.aggs["h"].collect()] == [(0.0, 8), (20.0, 2), (40.0, 2)]
     assert result.aggs["none"].first()["value"] == 0.0
 
 
@@ -114,12 +115,12 @@ def test_fuzzy_against_definition(spark):
             assert got == expected, (target, k, got ^ expected)
 
 
-WORDS = ["rust", "python", "go", "learning", "startup"]
+WORDS = ["storm", "harbour", "slow", "wind", "whales"]
 LEAF = st.one_of(
-    st.sampled_from(WORDS).map(lambda w: {"term": {"title": w}}),
-    st.sampled_from(["alice", "bob", "eve"]).map(lambda w: {"term": {"author": w}}),
-    st.integers(0, 900).map(lambda n: {"range": {"upvotes": {"gte": n}}}),
-    st.sampled_from(WORDS).map(lambda w: {"prefix": {"title": w[:3]}}),
+    st.sampled_from(WORDS).map(lambda w: {"term": {"log": w}}),
+    st.sampled_from(["mara", "otto", "pia"]).map(lambda w: {"term": {"skipper": w}}),
+    st.integers(0, 320).map(lambda n: {"range": {"miles": {"gte": n}}}),
+    st.sampled_from(WORDS).map(lambda w: {"prefix": {"log": w[:3]}}),
 )
 QUERY = st.recursive(
     LEAF,
@@ -130,8 +131,8 @@ QUERY = st.recursive(
 
 def holds(query, row):
     kind, body = next(iter(query.items()))
-    _, title, author, upvotes, _, _ = row
-    tokens = re.findall(r"[a-z0-9]+", title.lower())
+    _, log, skipper, miles, _, _ = row
+    tokens = re.findall(r"[a-z0-9]+", log.lower())
     if kind == "bool":
         required = body.get("must", []) + body.get("filter", [])
         should, never = body.get("should", []), body.get("must_not", [])
@@ -140,19 +141,19 @@ def holds(query, row):
         return all(holds(q, row) for q in required) and (bool(required) or any(holds(q, row) for q in should)) and not any(holds(q, row) for q in never)
     name, value = next(iter(body.items()))
     if kind == "range":
-        return upvotes >= value["gte"]
+        return miles >= value["gte"]
     if kind == "prefix":
         return any(t.startswith(value) for t in tokens)
-    return value in tokens if name == "title" else author == value
+    return value in tokens if name == "log" else skipper == value
 
 
 @settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(QUERY)
-def test_random_queries(stories, query):
-    index = stories.index("stories")
+def test_random_queries(voyages, query):
+    index = voyages.index("voyages")
     got = {r["_id"] for r in index.frame().where(translate(query, index.mapping).column()).select("_id").collect()}
-    assert got == {r[0] for r in STORIES if holds(query, r)}
+    assert got == {r[0] for r in VOYAGES if holds(query, r)}
 
 
 def test_analyse():
-    assert analyse("Show HN: Häus-5 " + "x" * 41) == ["show", "hn", "häus", "5"]
+    assert analyse("Buoy Nº-7, Häfen " + "y" * 41) == ["buoy", "nº", "7", "häfen"]

@@ -6,20 +6,23 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 class Workspace:
     """Intermediate tables of one run, in the folder that all executors share.
 
-    The folder is the one that ``spark.checkpoint.dir`` names. Only where a session leaves it unset (tests
-    on one machine) a temporary folder takes its place.
+    The folder is the one that ``spark.checkpoint.dir`` names. Only where a session on one machine leaves it unset (as in
+    tests) a temporary folder takes its place; on a cluster that is an error. ``close`` deletes the tables once
+    the results that rest on them have been written; as a context manager a workspace closes itself.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + os.path.join(tempfile.gettempdir(), "findling-shared")
         self.spark, self.path = spark, f"{base.rstrip('/')}/findling/{label}-{uuid.uuid4().hex[:12]}"
         here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -38,6 +41,16 @@ class Workspace:
     def drop(self, name: str) -> None:
         self.delete(f"{self.path}/{name}")
 
+    def close(self) -> None:
+        """Deletes all tables."""
+        self.delete(self.path)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def delete(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -71,6 +84,14 @@ def dealt(items: DataFrame, each: int = 1) -> DataFrame:
     return items.repartition(max(1, min(MOST_TASKS, -(-items.count() // each))))
 
 
+ROW_KEY = "struct<d:bigint,t:bigint>"
+
+
+def row_key() -> Column:
+    """Identifies a row by ``doc_id`` and a hash of ``text``, so that rows of different ids never share a key."""
+    return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64(F.col("text").cast("string"), F.col("doc_id").isNull()).alias("t"))
+
+
 def components(space: Workspace, edges: DataFrame, label: str) -> DataFrame:
     """Connected components of ``edges (a, b)``: rows ``(node, component)``, the smallest node of each.
 

@@ -129,12 +129,14 @@ WITH bytes AS (
   SELECT doc_id, coalesce(lag(hi) OVER w, 0) AS lo, lo AS hi FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY lo)
   UNION ALL SELECT s.doc_id, max(s.hi), any_value(len(b.x) // 2) FROM spans s JOIN bytes b USING (doc_id) GROUP BY 1
 ), kept AS (
-  SELECT g.doc_id, string_agg(b.x[2 * g.lo + 1 : 2 * g.hi], '' ORDER BY g.lo) AS x FROM gaps g JOIN bytes b USING (doc_id) GROUP BY 1
+  SELECT g.doc_id, string_agg(b.x[2 * g.lo + 1 : 2 * g.hi], '' ORDER BY g.lo) AS x,
+         string_agg(regexp_replace(regexp_replace(b.x[2 * g.lo + 1 : 2 * g.hi], '^([89AB].){1,3}', ''), '([CD].|E.([89AB].)?|F.([89AB].){0,2})$', ''), '' ORDER BY g.lo) AS whole
+  FROM gaps g JOIN bytes b USING (doc_id) GROUP BY 1
 ), removed AS (
   SELECT doc_id, sum(hi - lo) AS n, count(*) AS k FROM spans GROUP BY 1
 )
 SELECT b.doc_id, CAST(len(b.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, CAST(coalesce(r.k, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(coalesce(k.x, b.x))) AS kept_sha256
+       sha256(unhex(coalesce(k.x, b.x))) AS kept_sha256, decode(unhex(coalesce(k.whole, b.x))) AS text
 FROM bytes b LEFT JOIN removed r USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """,
     "op8_licenses": licenses.oracle(),

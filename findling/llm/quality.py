@@ -6,12 +6,14 @@ rejected at once. For the others the transformed statistics form a vector; per l
 minimum-covariance-determinant estimate finds the mean and covariance of the tightest ``SUBSET`` of vectors,
 and a text whose squared Mahalanobis distance exceeds the chi-square quantile ``QUANTILE`` is rejected.
 
-The estimate is fitted by concentration steps from a deterministic start (medians and median absolute
-deviations). A step measures all distances, and sums counts, vectors and products by group and distance
-class; the classes up to the one that reaches the subset's size give the next estimate. So a step is one
-aggregate with map-side combining whatever a group's size, and no group is ever gathered. Vectors lie on an
-integer grid (``GRID`` steps a unit), so sums are exact and results don't depend on partitions. Each
-statistic has a least spread (``FLOOR``), since most clean texts have no symbols or repeats at all. Groups
+The estimate is fitted by concentration steps from several deterministic starts (``STARTS``): the subset, the half and the
+whole of the vectors that are nearest to the medians by median absolute deviations. Each start takes steps until its
+subset no longer changes (at most ``STEPS``), and the one whose covariance has the least determinant is taken. A step
+measures all distances, and sums counts, vectors and products by group, start and distance class; the classes up
+to the one that reaches the subset's size give the next estimate. So a step is one aggregate with map-side combining
+whatever a group's size, and no group is ever gathered. Vectors lie on an integer grid (``GRID`` steps a unit), so
+sums are exact and results don't depend on partitions. No statistic's variance counts as less than the square of its
+``FLOOR``, since most clean texts have no symbols or repeats at all. Groups
 of fewer than ``LEAST_GROUP`` texts use the estimate of their language, or else of all texts; those estimates are
 fitted on every text of the language, or every text, that passes the base, whichever estimate judges it.
 
@@ -29,12 +31,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._shared import Workspace
+from ._shared import ROW_KEY, Workspace, row_key
 
 MIN_WORDS = 50
 MAX_REPEAT = 50
 SUBSET = 0.75
-STEPS = 6
+#: The share of the nearest vectors that each start takes first.
+STARTS = (0.75, 0.5, 1.0)
+STEPS = 20
 LEAST_GROUP = 50
 QUANTILE = 1 - 1e-5
 GRID = 256
@@ -42,7 +46,7 @@ GRID = 256
 CLASSES_PER_DOUBLING = 32
 NAMES = ("words", "length", "symbols", "lines", "repeats")
 #: The least standard deviations of the transformed statistics, in the order of NAMES.
-FLOOR = (1.0, 0.5, 0.12, 0.35, 0.15)
+FLOOR = (1.0, 0.5, 0.12, 0.35, 0.12)
 P = len(NAMES)
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
@@ -93,7 +97,7 @@ def _measure(batches):
         yield pa.RecordBatch.from_arrays([*rest, *(pa.array(got[c], pa.int64()) for c in order)], ["rk", "doc_id", "lang", "source", *order])
 
 
-MEASURED = "rk long, doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+MEASURED = f"rk {ROW_KEY}, doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
 def base_failed() -> Column:
@@ -133,31 +137,35 @@ def consistency(share: float = SUBSET, p: int = P) -> float:
     return share / gamma_p(p / 2 + 1, chi_square_quantile(share, p) / 2)
 
 
-def estimate(count: float, total: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and inverse covariance, in units of the grid, from exact sums of a subset."""
+def estimate(count: float, total: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Mean, inverse covariance and logarithm of its determinant, in units of the grid, from exact sums of a subset."""
     mean = total / count
     cov = (product / count - np.outer(mean, mean)) * consistency()
-    cov[np.diag_indices(P)] += (np.array(FLOOR) * GRID) ** 2
-    return mean, np.linalg.inv(cov)
+    diagonal = np.diag_indices(P)
+    cov[diagonal] = np.maximum(cov[diagonal], (np.array(FLOOR) * GRID) ** 2) + 1.0  # vectors are known to a step of the grid
+    return mean, np.linalg.inv(cov), float(np.linalg.slogdet(cov)[1])
 
 
 def _states(batches):
-    """The next estimate of each group from the sums of its subset."""
+    """The next estimate of each group and start from the sums of its subset."""
     for batch in batches:
-        groups, count = batch.column(0), batch.column(1).to_numpy()
-        sums = np.array([c.to_pylist() for c in batch.columns[2:]], float).reshape(P + len(PAIRS), -1)
-        means, inverses = [], []
+        groups, starts, count = batch.column(0), batch.column(1), batch.column(2)
+        n = count.to_numpy()
+        sums = np.array([c.to_pylist() for c in batch.columns[3:]], float).reshape(P + len(PAIRS), -1)
+        means, inverses, sizes = [], [], []
         for g in range(batch.num_rows):
             product = np.zeros((P, P))
             for k, (i, j) in enumerate(PAIRS):
                 product[i, j] = product[j, i] = sums[P + k, g]
-            mean, inverse = estimate(count[g], sums[:P, g], product)
+            mean, inverse, size = estimate(n[g], sums[:P, g], product)
             means.append(mean.tolist())
             inverses.append([inverse[i, j] * (1 if i == j else 2) for i, j in PAIRS])
-        yield pa.RecordBatch.from_arrays([groups, pa.array(means, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64()))], ["grp", "mean", "inverse"])
+            sizes.append(size)
+        columns = [groups, starts, count, pa.array(means, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64())), pa.array(sizes, pa.float64())]
+        yield pa.RecordBatch.from_arrays(columns, ["grp", "start", "n", "mean", "inverse", "volume"])
 
 
-STATE = "grp string, mean array<double>, inverse array<double>"
+STATE = "grp string, start int, n long, mean array<double>, inverse array<double>, volume double"
 
 
 def distance() -> Column:
@@ -193,25 +201,31 @@ def fit(vectors: DataFrame, space: Workspace) -> DataFrame:
     middle = vectors.groupBy("grp").agg(*(F.percentile(f"x{i}", F.lit(0.5)).alias(f"m{i}") for i in range(P)))  # counts by grid value
     middle = space.save(middle, "medians")
     spread = vectors.join(middle, "grp").groupBy("grp").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(P)), *(F.percentile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), F.lit(0.5)).alias(f"s{i}") for i in range(P)))
-    precision = [1 / (F.pow(1.4826 * F.col(f"s{i}"), 2) + F.lit((FLOOR[i] * GRID) ** 2)) if i == j else F.lit(0.0) for i, j in PAIRS]
-    state = space.save(spread.select("grp", F.array(*(F.col(f"m{i}") for i in range(P))).alias("mean"), F.array(*precision).alias("inverse")), "state-0")
+    precision = [1 / (F.greatest(F.pow(1.4826 * F.col(f"s{i}"), 2), F.lit((FLOOR[i] * GRID) ** 2)) + 1.0) if i == j else F.lit(0.0) for i, j in PAIRS]
+    first = spread.select("grp", F.array(*(F.col(f"m{i}") for i in range(P))).alias("mean"), F.array(*precision).alias("inverse"))
+    starts = F.posexplode(F.array(*(F.lit(x) for x in STARTS))).alias("start", "share")
+    state = space.save(first.select("grp", starts, F.lit(0).cast("long").alias("n"), "mean", "inverse"), "state-0")
     sums = [F.sum(f"x{i}").alias(f"a{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"b{i}{j}") for i, j in PAIRS]
     names = [f"a{i}" for i in range(P)] + [f"b{i}{j}" for i, j in PAIRS]
     for turn in range(1, STEPS + 1):
         near = F.floor(F.log2(distance() + 1e-3) * CLASSES_PER_DOUBLING)
-        classes = vectors.join(state, "grp").withColumn("near", near).groupBy("grp", "near").agg(F.count("*").alias("n"), *sums)
-        by_group = Window.partitionBy("grp")  # some hundreds of distance classes a group
-        before = F.sum("n").over(by_group.orderBy("near").rowsBetween(Window.unboundedPreceding, -1))
-        kept = classes.withColumns({"before": F.coalesce(before, F.lit(0)), "all": F.sum("n").over(by_group)}).where(F.col("before") < SUBSET * F.col("all"))
-        subset = kept.groupBy("grp").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names))
-        state = space.save(subset.select("grp", "n", *names).mapInArrow(_states, STATE), f"state-{turn}")
-    return state
+        classes = vectors.join(state, "grp").withColumn("near", near).groupBy("grp", "start", "share", "near").agg(F.count("*").alias("n"), *sums)
+        by_start = Window.partitionBy("grp", "start")  # some hundreds of distance classes
+        before = F.sum("n").over(by_start.orderBy("near").rowsBetween(Window.unboundedPreceding, -1))
+        kept = classes.withColumns({"before": F.coalesce(before, F.lit(0)), "all": F.sum("n").over(by_start)}).where(F.col("before") < F.col("share") * F.col("all"))
+        subset = kept.groupBy("grp", "start").agg(F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in names))
+        was = state.select("grp", "start", F.col("n").alias("was_n"), F.col("mean").alias("was_mean"), F.col("inverse").alias("was_inverse"))
+        state = space.save(subset.select("grp", "start", "n", *names).mapInArrow(_states, STATE), f"state-{turn}")
+        if state.join(was, ["grp", "start"]).where("n <> was_n or mean <> was_mean or inverse <> was_inverse").isEmpty():
+            break
+        state = state.withColumn("share", F.lit(SUBSET))
+    return state.groupBy("grp").agg(F.min_by(F.struct("mean", "inverse"), F.struct("volume", "start")).alias("best")).select("grp", "best.*")
 
 
 def judged(docs: DataFrame, space: Workspace) -> DataFrame:
     """Statistics and verdicts: the columns of the report and ``rk``, one row for each row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    rows = rows.withColumn("rk", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("rk", row_key())
     stats = space.save(rows.mapInArrow(_measure, MEASURED), "stats")
     vectors = grouped(stats, space)
     limit = chi_square_quantile(QUANTILE, P)
@@ -229,5 +243,5 @@ def quality_report(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass; columns as they are."""
     gone = judged(docs, Workspace(docs.sparkSession, "quality")).where("not kept").select(F.col("rk").alias("__rk")).distinct()
-    keyed = docs.withColumn("__key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    keyed = docs.withColumn("__key", row_key())
     return keyed.join(gone, F.col("__key") == F.col("__rk"), "left_anti").drop("__key")

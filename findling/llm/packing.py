@@ -4,10 +4,12 @@ A document is its token ids and a closing id. Only one that is longer than a seq
 its pieces but the first are full. Full pieces are sequences by themselves. The others are dealt to
 partitions and packed by best-fit decreasing. Dual-feasible functions map lengths so that every packing
 stays feasible, so their sums bound the bins that any packing needs; the best of them certifies a
-partition's count. Partitions whose count is above the bound, and all loosely filled bins, give up the
-documents of their loosest bins; groups of ``FAN_IN`` partitions exchange these and best-fit decreasing
-runs again over them, round after round until one partition is left. A repacking that needs no fewer bins is
-not taken. Lengths and bounds depend only on counts by length (at most ``capacity`` of them).
+partition's count: no run over the same documents can need fewer. What is left to gain lies between partitions, since
+what one's long documents leave empty may suit another's short ones; so a partition gives up its loosest bins, as many as the
+gap to the plain sum of its lengths can use, and never more than ``PART_ITEMS / FAN_IN`` documents (or one bin). One whose lengths
+fill its bins up is closed but for its loosest bin. Groups of ``FAN_IN`` partitions exchange these and best-fit decreasing
+runs again over them, round after round until one partition is left. So a partition never holds more than ``PART_ITEMS``
+documents on average, in whatever round. A repacking that needs no fewer bins is not taken. Bounds depend only on counts by length (at most ``capacity`` of them).
 
 Null text is an empty document of the closing id alone. Rows with one id are packed as separate documents.
 Extra columns are not read. Ties go by row number, so a packing repeats exactly for the same table.
@@ -31,8 +33,8 @@ CLOSING_ID = 0
 #: Documents that one partition packs on average, and how many partitions exchange documents in a round.
 PART_ITEMS = 8192
 FAN_IN = 32
-#: Bins filled to less than this share are always given up to the next round.
-LOOSE = 0.97
+#: Bins that a partition gives up for each bin of its gap.
+GIVEN_UP = 6
 
 
 def lower_bound(counts: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -113,10 +115,11 @@ def _pack(capacity: int, turn: int):
             count, offset = before, was_at
         else:
             names = (np.int64(turn) << 56) | (np.int64(part) << 28) | np.arange(count)
-        fill = np.bincount(bins, length, count)
-        loose = fill < LOOSE * capacity
-        if count > bound:  # not certified: the loosest bins go as well
-            loose[np.argsort(fill, kind="stable")[: 4 * (count - bound) + 4]] = True
+        fill, held = np.bincount(bins, length, count), np.bincount(bins, minlength=count)
+        gap = count - -(-int(length.sum()) // capacity)
+        order = np.argsort(fill, kind="stable")[: GIVEN_UP * gap + 1]
+        loose = np.zeros(count, bool)
+        loose[order[np.cumsum(held[order]) <= max(PART_ITEMS // FAN_IN, held[order[0]])]] = True
         return pa.table(
             {
                 "row": pa.array(row),
@@ -147,6 +150,8 @@ def pack(items: DataFrame, space: Workspace, capacity: int = CAPACITY) -> DataFr
             return placed.union(packed.select("row", "bin", "offset"))
         placed = placed.union(packed.where("not loose").select("row", "bin", "offset"))
         dealt = packed.where("loose").select("row", "length", "bin", "offset", "part")
+        if dealt.isEmpty():  # every partition is certified
+            return placed
         parts, turn = -(-parts // FAN_IN), turn + 1
 
 

@@ -1,13 +1,17 @@
 """Document fingerprints as Merkle trees, in DataFrame functions only.
 
-A text is cut into sections (after blank lines) and these into paragraphs (after line feeds); separators
-stay with what they end, so the parts concatenate to the text. A paragraph's digest is the SHA-256 of its
-bytes, a section's that of its paragraphs' digests, and the root (the fingerprint) that of the sections'.
-Equal roots mean equal texts; where roots differ, the sections and then the paragraphs whose digests
-differ locate the edit (``differing_paragraphs``). Below paragraphs stands a layer of *runs*: sentences, cut
-every 48 characters. The likeness of two trees is the Dice coefficient of their distinct runs.
-
-Null text is the empty text, which has one empty paragraph. Two trees without runs are alike (1.0). The next
+A text is cut into sections (after blank lines), these into paragraphs (after line feeds) and these into leaves;
+separators stay with what they end, so the parts concatenate to the text. Leaves end by content alone (after sentences,
+words with certain last letters, certain characters in scripts and code without spaces), so an insertion changes only the
+leaves that it touches, wherever it stands. A leaf's digest is the SHA-256 of its bytes, a paragraph's that of its leaves'
+digests, a section's that of its paragraphs' and the root (the fingerprint) that of the sections'. Equal roots mean equal texts.
+
+Likeness is counted on the trees' nodes: the Dice coefficient of their distinct leaf digests (by 64 bits of each), whose
+counts the report returns. Where roots differ, differing branches locate the edit: ``edit_paragraph`` is the first
+paragraph whose digest differs, and ``differing_paragraphs`` lists, of both trees, the paragraphs under sections that the
+other tree doesn't have which the other's differing sections don't have either.
+
+Null text is the empty text, whose one paragraph has no leaf. Two trees without leaves are alike (1.0). The next
 document is the one with the next larger id; of several rows with one id the one with the least text hash
 stands for them, and each takes the same next document. A null id counts as the least. Of a single document
 the next is itself. Extra columns are not read.
@@ -22,65 +26,71 @@ from ._shared import Workspace, ordered
 
 SECTION_END = r"(?<=\n\n)(?!\n)"
 PARAGRAPH_END = r"(?<=\n)"
-SENTENCE_END = r"(?<=[.!?]\s|\n)"
-RUN_CHARS = 48
+#: Of every 256 code points from U+3000 to the last Hangul syllable, 16 end a leaf.
+WIDE = "".join(rf"\u{x:04x}-\u{x + 15:04x}" for x in range(0x3000, 0xD800, 0x100))
+LEAF_END = rf"(?<=[.!?]\s|[bdgkpwyß]\s|[qzQZ7;}}]|[\u3000-\ud7ff&&[{WIDE}]])"
 _LEAST = -(1 << 63)
 
 
-def sections(text: Column) -> Column:
-    """The tree below the root: an array of (digest, paragraphs), paragraphs being digests."""
+def tree(text: Column) -> Column:
+    """The leaves' digests: an array of sections, each an array of paragraphs, each an array of digests."""
 
-    def section(x: Column) -> Column:
-        leaves = F.transform(F.split(x, PARAGRAPH_END), lambda p: F.sha2(p, 256))
-        return F.struct(F.sha2(F.array_join(leaves, ""), 256).alias("digest"), leaves.alias("paragraphs"))
+    def paragraph(p: Column) -> Column:
+        return F.transform(F.filter(F.split(p, LEAF_END), lambda x: x != ""), lambda x: F.sha2(x, 256))
 
-    return F.transform(F.split(text, SECTION_END), section)
+    return F.transform(F.split(text, SECTION_END), lambda s: F.transform(F.split(s, PARAGRAPH_END), paragraph))
 
 
-def fingerprint(text: Column) -> Column:
-    """The root of the tree."""
-    digests = F.transform(
-        F.split(text, SECTION_END), lambda s: F.sha2(F.array_join(F.transform(F.split(s, PARAGRAPH_END), lambda p: F.sha2(p, 256)), ""), 256)
-    )
-    return F.sha2(F.array_join(digests, ""), 256)
+def paragraphs(leaves: Column) -> Column:
+    """From ``tree``: an array of sections, each an array of its paragraphs' digests."""
+    return F.transform(leaves, lambda s: F.transform(s, lambda p: F.sha2(F.array_join(p, ""), 256)))
+
+
+def sections(inner: Column) -> Column:
+    """From ``paragraphs``: the sections' digests."""
+    return F.transform(inner, lambda s: F.sha2(F.array_join(s, ""), 256))
+
 
+def root(inner: Column) -> Column:
+    """From ``paragraphs``: the fingerprint."""
+    return F.sha2(F.array_join(sections(inner), ""), 256)
 
-def runs(text: Column) -> Column:
-    """Hashes of the distinct runs below the paragraphs."""
-    every = r"(?s)(?<=\G.{%d})" % RUN_CHARS
-    cut = F.transform(F.split(text, SENTENCE_END), lambda s: F.when(F.length(s) > RUN_CHARS, F.split(s, every)).otherwise(F.array(s)))
-    return F.array_distinct(F.transform(F.filter(F.flatten(cut), lambda r: r != ""), lambda r: F.xxhash64(r)))
 
+def names(leaves: Column) -> Column:
+    """64 bits of each distinct leaf digest of a tree."""
+    return F.array_distinct(F.transform(F.flatten(F.flatten(leaves)), lambda d: F.xxhash64(d)))
 
-def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of two arrays of distinct runs."""
-    both = F.size(a) + F.size(b)
-    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / both)
+
+def likeness(a: Column, b: Column, both: Column) -> Column:
+    """Dice coefficient from the numbers of distinct leaves of two trees and of those in both."""
+    return F.when(a + b == 0, F.lit(1.0)).otherwise(2.0 * both / (a + b))
 
 
 def differing_paragraphs(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """For rows with two texts, the (section, paragraph) places at which their trees differ.
+    """For rows with two texts, the (section, paragraph) places of each that the other doesn't have.
 
-    Branches with equal digests are not descended into. Adds ``section``, ``paragraph`` (from 0) and ``side``
-    ("left", "right" where only that tree has the place, else "both"); rows of equal texts vanish.
+    Branches with equal digests are not descended into, wherever they stand. Adds ``side`` ("left" or "right"), ``section`` and
+    ``paragraph`` (from 0); rows of equal texts vanish.
     """
-    rows = pairs.withColumn("_a", sections(F.coalesce(left, F.lit("")))).withColumn("_b", sections(F.coalesce(right, F.lit(""))))
-    rows = rows.select(*pairs.columns, F.posexplode(F.arrays_zip("_a", "_b")).alias("section", "_pair"))
-    a, b = F.col("_pair._a"), F.col("_pair._b")
-    rows = rows.where(~a["digest"].eqNullSafe(b["digest"]))
-    none = F.array().cast("array<string>")
-    x, y = F.coalesce(a["paragraphs"], none).alias("_x"), F.coalesce(b["paragraphs"], none).alias("_y")
-    rows = rows.select(*pairs.columns, "section", x, y).select(*pairs.columns, "section", F.posexplode(F.arrays_zip("_x", "_y")).alias("paragraph", "_leaf"))
-    x, y = F.col("_leaf._x"), F.col("_leaf._y")
-    side = F.when(x.isNull(), "right").when(y.isNull(), "left").otherwise("both").alias("side")
-    return rows.where(~x.eqNullSafe(y)).select(*pairs.columns, "section", "paragraph", side)
+    kept = pairs.columns
+    for name, column in (("_a", left), ("_b", right)):
+        pairs = pairs.withColumn(name, paragraphs(tree(F.coalesce(column, F.lit("")))))
+    pairs = pairs.withColumns({"_x": sections(F.col("_a")), "_y": sections(F.col("_b"))})
+    sides = None
+    for side, own, digests, other, others in (("left", "_a", "_x", "_b", "_y"), ("right", "_b", "_y", "_a", "_x")):
+        left_over = F.expr(f"flatten(filter({other}, (p, i) -> not array_contains({digests}, get({others}, i))))")
+        rows = pairs.select(*kept, F.posexplode(F.arrays_zip(own, digests)).alias("section", "_s"), left_over.alias("_o"), F.col(others).alias("_d"))
+        rows = rows.where(~F.array_contains("_d", F.col(f"_s.{digests}"))).select(*kept, "section", "_o", F.posexplode(f"_s.{own}").alias("paragraph", "_p"))
+        rows = rows.where(~F.array_contains("_o", F.col("_p"))).select(*kept, F.lit(side).alias("side"), "section", "paragraph")
+        sides = rows if sides is None else sides.union(rows)
+    return sides
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
     """Fingerprints of the texts and of their edited texts, and likenesses; one row for each row of ``docs``.
 
     The texts cross the network once, by id: the same exchange serves a document's own row and the sending of
-    its head and its runs to the document before it.
+    its head and the names of its leaves to the document before it.
     """
     space = Workspace(docs.sparkSession, "merkle")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("k")
@@ -91,17 +101,40 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     sent = space.save(follow.crossJoin(F.broadcast(first)).select(F.coalesce("following", "first").alias("target"), F.col("k").alias("prev"), "n"), "next")
     received = base.join(sent.hint("merge"), base.k == sent.target).withColumn("_h", F.xxhash64("text"))
     chosen = received.withColumn("_r", F.row_number().over(Window.partitionBy("k").orderBy("_h", "text", "doc_id"))).where("_r = 1")  # all columns of base, so that both joins share its exchange
-    head = chosen.select(F.col("prev").alias("k"), F.substring("text", F.lit(1), F.floor(F.col("n") / 4).cast("int")).alias("head"), runs(F.col("text")).alias("next_runs"))
+    head = chosen.select(F.col("prev").alias("k"), F.substring("text", F.lit(1), F.floor(F.col("n") / 4).cast("int")).alias("head"), names(tree(F.col("text"))).alias("next_names"))
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
-    rows = base.join(head.hint("merge"), "k").select("doc_id", n.cast("long").alias("n_chars"), "text", F.concat(F.substring("text", F.lit(1), n - cut), F.substring("head", F.lit(1), cut)).alias("edited"), "next_runs")
-    rows = rows.withColumn("own_runs", runs(F.col("text")))
+    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("head", F.lit(1), cut))
+    rows = base.join(head.hint("merge"), "k").select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_names")
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "next_names", tree(F.col("text")).alias("own"), tree(F.col("edited")).alias("new"))
+    rows = rows.withColumns({"own_names": names(F.col("own")), "new_names": names(F.col("new")), "own": paragraphs(F.col("own")), "new": paragraphs(F.col("new"))})
+    size = lambda x: F.size(x).cast("long")
+    shared = lambda x: size(F.array_intersect("own_names", x))
+    rows = rows.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        root(F.col("own")).alias("fingerprint"),
+        root(F.col("new")).alias("edited_fingerprint"),
+        size("own_names").alias("n_leaves"),
+        size("new_names").alias("n_edited_leaves"),
+        shared("new_names").alias("n_shared_edited"),
+        size("next_names").alias("n_next_leaves"),
+        shared("next_names").alias("n_shared_next"),
+        F.array_position(F.zip_with(F.flatten("own"), F.flatten("new"), lambda x, y: x.eqNullSafe(y)), False).alias("at"),
+    )
     return rows.select(
         "doc_id",
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("fingerprint"),
-        fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("own_runs"), runs(F.col("edited"))).alias("near_edited"),
-        likeness(F.col("own_runs"), F.col("next_runs")).alias("near_next"),
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        likeness(F.col("n_leaves"), F.col("n_edited_leaves"), F.col("n_shared_edited")).alias("near_edited"),
+        likeness(F.col("n_leaves"), F.col("n_next_leaves"), F.col("n_shared_next")).alias("near_next"),
+        "n_leaves",
+        "n_edited_leaves",
+        "n_shared_edited",
+        "n_next_leaves",
+        "n_shared_next",
+        F.when(F.col("at") > 0, F.col("at") - 1).alias("edit_paragraph"),
     )

@@ -37,8 +37,8 @@ EPOCHS = 24
 RATE = 0.4
 BLOCK = 32
 UNKNOWN = "und"
-#: Texts with a smaller share of their best language go in the filter.
-MIN_SHARE = 0.5
+#: The filter drops texts whose words are labelled less surely (mean of each word's largest marginal).
+MIN_SURE = 0.5
 
 _U = np.uint64
 _LETTER = regex.compile(r"\p{L}")
@@ -104,33 +104,35 @@ class Model:
         real = np.arange(BLOCK) < size[:, None]
         emit = np.exp(scores - scores.max(1, keepdims=True))[np.where(real, index, 0)]
         move = np.exp(self.move - self.move.max())
-        # The product of each block's potentials, from the state before it to the state at its end.
+        # A text's first word has no neighbour before it: its step is the first labels' weights.
+        first_block = top[:-1]
+        moves = real.copy()
+        moves[first_block, 0] = False
+        # The product of each block's potentials, from the state before it (in a text's first block: the state at its
+        # first word) to the state at its end.
         product = np.broadcast_to(np.eye(k), (total, k, k)).copy()
         for t in range(BLOCK):
             step = (product @ move) * emit[:, t, None, :]
             step /= step.max((1, 2), keepdims=True)
-            product = np.where(real[:, t, None, None], step, product)
-        # Messages into blocks, one rank of blocks of all texts at a time. A text's first word has no neighbour
-        # before it, so a state is put in front from which ``move`` leads to the first labels' weights.
-        start = np.exp(self.first - self.first.max())
+            product = np.where(moves[:, t, None, None], step, product)
+        # Messages into blocks, one rank of blocks of all texts at a time.
         before, after = np.empty((total, k)), np.ones((total, k))
-        first_block = top[:-1]
-        head = np.linalg.solve(move.T, start) if abs(np.linalg.det(move)) > 1e-9 else None
-        before[first_block] = head if head is not None else start
+        head = np.exp(self.first - self.first.max()) * emit[first_block, 0]
+        before[first_block] = head / head.sum(1, keepdims=True)
         for r in range(1, int(blocks.max())):
             own = first_block[blocks > r] + r
             x = np.einsum("nk,nkj->nj", before[own - 1], product[own - 1])
-            before[own] = x / np.abs(x).sum(1, keepdims=True)
+            before[own] = x / x.sum(1, keepdims=True)
         for r in range(int(blocks.max()) - 2, -1, -1):
             own = first_block[blocks > r + 1] + r
             x = np.einsum("nkj,nj->nk", product[own + 1], after[own + 1])
-            after[own] = x / np.abs(x).sum(1, keepdims=True)
+            after[own] = x / x.sum(1, keepdims=True)
         forward = np.empty((total, BLOCK, k))
         x = before
         for t in range(BLOCK):
             step = (x @ move) * emit[:, t]
-            step /= np.abs(step).sum(1, keepdims=True)
-            x = np.where(real[:, t, None], step, x)
+            step /= step.sum(1, keepdims=True)
+            x = np.where(moves[:, t, None], step, x)
             forward[:, t] = x
         x = after
         for t in range(BLOCK - 1, -1, -1):
@@ -242,29 +244,31 @@ def fit(docs: DataFrame, sample: int = SAMPLE, window: int = WINDOW) -> Model:
     return train(rows)
 
 
-def _judge(model: Model, raw: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Prediction and score of each text."""
+def _judge(model: Model, raw: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Prediction and score of each text, and how surely its words are labelled."""
     docs = len(at) - 1
     if not model.labels:
-        return [UNKNOWN] * docs, np.zeros(docs)
+        return [UNKNOWN] * docs, np.zeros(docs), np.zeros(docs)
     share, lettered, _, first = model.texts(raw, at)
     of = np.repeat(np.arange(docs), np.diff(first))[lettered]
     total = np.stack([np.bincount(of, share[lettered, c], docs) for c in range(len(model.labels))], 1)
     number = np.bincount(of, minlength=docs)
+    sure = np.bincount(of, share[lettered].max(1), docs) / np.maximum(number, 1)
     mean = total / np.maximum(number, 1)[:, None]
     best = np.round(mean, 9).argmax(1)
     has = np.diff(np.concatenate(([0], np.cumsum(_ASCII_LETTER[raw])))[at]) > 0
     for i in np.flatnonzero(~has).tolist():  # no ASCII letter: other alphabets, or none at all
         has[i] = _LETTER.search(raw[at[i] : at[i + 1]].tobytes().decode(errors="ignore")) is not None
     has &= number > 0
-    return [model.labels[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist(), strict=True)], np.where(has, np.clip(mean[np.arange(docs), best], 0, 1), 0.0)
+    labels = [model.labels[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist(), strict=True)]
+    return labels, np.where(has, np.clip(mean[np.arange(docs), best], 0, 1), 0.0), np.where(has, sure, 0.0)
 
 
 def _predict(sent):
     def run(batches):
         model = sent.value
         for batch, raw, at in K.steps(batches):
-            label, score = _judge(model, raw, at)
+            label, score, _ = _judge(model, raw, at)
             rest = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "held_out")]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(label, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -284,14 +288,14 @@ def _keep(sent):
     def run(batches):
         model = sent.value
         for batch, raw, at in K.steps(batches):
-            label, score = _judge(model, raw, at)
-            yield batch.filter(pa.array([x != UNKNOWN and s >= MIN_SHARE for x, s in zip(label, score.tolist(), strict=True)]))
+            label, _, sure = _judge(model, raw, at)
+            yield batch.filter(pa.array([x != UNKNOWN and s >= MIN_SURE for x, s in zip(label, sure.tolist(), strict=True)]))
 
     return run
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents with a language that at least ``MIN_SHARE`` of the words' weight supports; columns as they are."""
+    """The documents whose words are labelled surely, in one language or in several by turns; columns as they are."""
     Workspace(docs.sparkSession, "crf")
     model = docs.sparkSession.sparkContext.broadcast(fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")))
     return docs.mapInArrow(_keep(model), docs.schema)

@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer, and the reader of its archives.
 
 Records are range-sorted by page id. Exact running sums of payload bytes over that order cut the ids into
-shards of about ``SHARD_BYTES``, so shards depend on the table alone, not on partitions or sampling. One task
+shards of about ``SHARD_BYTES`` (more for very large tables: at most ``MOST_SHARDS``), so shards depend on the table alone,
+not on partitions or sampling. A page id whose rows alone fill several shards is dealt to them by payload digest. One task
 writes a shard: it sorts its records, makes headers and digests anew, compresses each record as a gzip
 member of its own and rolls to the next file once the compressed size passes ``ROLL_BYTES``. A file is written
 under a temporary name and moved to its own when whole; the manifest (a table in the same folder, committed
@@ -30,13 +31,17 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Workspace, dealt, ordered
+from ._shared import MOST_TASKS, Workspace, dealt, ordered
 
 SHARD_BYTES = 32 << 20
+#: Bounds what every task gets of the shards' first ids (8 bytes each).
+MOST_SHARDS = 1 << 20
 ROLL_BYTES = 8 << 20
 LEVEL = 6
 #: Revisit rows of a payload beyond which the search for its response is dealt to this many tasks.
 HOT_PAYLOAD, SALTS = 10_000, 64
+#: What stands for a null id in the order of ids.
+NO_ID = -(1 << 63)
 DATE = "1970-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -152,20 +157,25 @@ def write_archives(pages: DataFrame, space: Workspace, min_bytes: int = 0, shard
     """Writes ``pages (page_id, url, html)``: the archives' folder and the committed manifest."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     plan = _plan(pages, space, min_bytes)
-    placed = ordered(plan, "page_id", "n")
-    cuts = placed.groupBy(F.floor(F.col("before") / shard_bytes).alias("shard")).agg(F.min("page_id").alias("first")).where("shard > 0 and first is not null")
-    starts = np.array(sorted(row["first"] for row in cuts.select("first").distinct().toLocalIterator()), np.int64)  # one id for each shard
-
-    def shard_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        out = np.zeros(len(ids), np.int64)
-        out[known] = np.searchsorted(starts, ids[known].astype("int64"), "right")
-        return pd.Series(out)
-
-    shard = F.pandas_udf(shard_of, "long")(F.col("page_id"))
+    placed = space.save(ordered(plan, "page_id", "n"), "placed")
+    total = placed.agg(F.max(F.col("before") + F.col("n"))).first()[0] or 0
+    shard_bytes = max(shard_bytes, -(-total // MOST_SHARDS))
+    cuts = placed.groupBy(F.floor(F.col("before") / shard_bytes).alias("shard")).agg(F.min(F.coalesce("page_id", F.lit(NO_ID))).alias("first")).where("shard > 0")
+    starts = np.array(sorted(row["first"] for row in cuts.select("first").toLocalIterator()), np.int64)  # one id a shard, so MOST_SHARDS at most
+    sent = pages.sparkSession.sparkContext.broadcast(starts)
+
+    def shard_of(ids: pd.Series, digests: pd.Series) -> pd.Series:
+        lo, hi = (np.searchsorted(sent.value, ids.to_numpy(np.int64), side) for side in ("left", "right"))
+        wide = hi > lo + 1  # the id begins several shards
+        salt = digests.str.slice(0, 8).map(lambda x: int(x, 16)).to_numpy(np.int64)
+        return pd.Series(np.where(wide, lo + salt % (hi - lo + 1), hi))
+
+    key = F.coalesce("page_id", F.lit(NO_ID))
     folder = f"{space.path}/archives"
-    left = pages.withColumn("shard", shard).groupBy("shard")
-    right = plan.withColumn("shard", shard).groupBy("shard")
+    shard = F.pandas_udf(shard_of, "long")
+    tasks = min(MOST_TASKS, 2 * (len(starts) + 1))  # two for each shard, so that few tasks get more than one
+    left = pages.withColumn("shard", shard(key, F.sha1("html"))).repartition(tasks, "shard").groupBy("shard")
+    right = plan.withColumn("shard", shard(key, "digest")).repartition(tasks, "shard").groupBy("shard")
     written = left.cogroup(right).applyInArrow(_write(folder, roll_bytes), MANIFEST)
     return folder, space.save(written, "manifest")
 

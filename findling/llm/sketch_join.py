@@ -440,6 +440,7 @@ class _Candidates:
         members = found.where("members is not null").select("members").distinct().mapInArrow(_spell_out, "grp long, set_id long, pivot boolean")
         members = members.groupBy("grp", "set_id").agg(F.max("pivot").alias("pivot"))
         self.members = space.save(members.join(self.sets.select("set_id", "node", "n"), "set_id").select("grp", "node", "n", "pivot"), "members")
+        space.drop("found")
         size = self.members.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / GROUP_BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
         self.sizes = space.save(size, "sizes")
 

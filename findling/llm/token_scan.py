@@ -35,11 +35,16 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def id_width(path: str, end_id: int = END_ID) -> int:
+    """Bytes of an id in a flat file: 2 if every id of the vocabulary and the end id fit, else 4."""
+    return 2 if max(codec(path).ids_end, end_id + 1) <= 1 << 16 else 4
+
+
 def _write(path: str, folder: str, end_id: int):
     """Writes the documents of a task as one flat file; rows (file, ids, ordinal, doc_id)."""
 
     def run(batches):
-        bpe = codec(path)
+        bpe, width = codec(path), id_width(path, end_id)
         fs, base = _open(folder)
         name = f"part-{TaskContext.get().partitionId():06d}.ids"
         scratch = f"{base}/.{name}.{uuid.uuid4().hex}"  # a retried task never appends to what another left
@@ -48,7 +53,7 @@ def _write(path: str, folder: str, end_id: int):
         with fs.open_output_stream(scratch) as out:
             for batch, raw, at in K.steps(batches):
                 ids, of = bpe.encode(raw, at, ordinary=True)
-                flat = np.insert(ids, of[1:], end_id).astype("<u2" if end_id < 1 << 16 else "<u4")
+                flat = np.insert(ids, of[1:], end_id).astype(f"<u{width}")
                 out.write(flat.tobytes())
                 n = batch.num_rows
                 held.append(([name] * n, np.arange(ordinal, ordinal + n), batch.column(batch.schema.get_field_index("doc_id"))))
@@ -141,5 +146,5 @@ def token_report(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     space = Workspace(spark, "token-scan")
     folder, order = write_flat(docs, space, path)
-    counted = count_tokens(spark, space, folder)
+    counted = count_tokens(spark, space, folder, width=id_width(path))
     return order.join(counted, ["file", "ordinal"], "left").select("doc_id", "n_tokens")

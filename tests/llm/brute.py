@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import regex
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -54,7 +55,12 @@ def repeats(docs, width=400):
         flag = np.cumsum(gone)[: len(b)] > 0
         runs = int((flag & ~np.concatenate(([False], flag[:-1]))).sum()) if len(b) else 0
         kept = np.frombuffer(b, np.uint8)[~flag].tobytes()
-        out.append((len(b), int(flag.sum()), runs, hashlib.sha256(kept).hexdigest()))
+        whole, start = "", 0
+        for char in b.decode():  # a character stays if all its bytes do
+            size = len(char.encode())
+            whole += "" if flag[start : start + size].any() else char
+            start += size
+        out.append((len(b), int(flag.sum()), runs, hashlib.sha256(kept).hexdigest(), whole))
     return out
 
 
@@ -85,22 +91,51 @@ def judge(rows, quality):
     kept = [False] * len(rows)
     floor = np.diag((np.array(quality.FLOOR) * quality.GRID) ** 2)
     half_up = lambda x: np.floor(x + 0.5)
-    for members in group.values():
+
+    def vectors(members):
         n, chars, symbols, lines, again = (np.array([stats[i][k] for i in members], float) for k in range(5))
-        x = half_up(np.stack((np.log1p(n), chars / n, np.sqrt(symbols / n), np.log1p(lines), np.sqrt(again / n)), 1) * quality.GRID)
-        mean = np.median(x, 0)
-        inverse = np.diag(1 / ((1.4826 * np.median(np.abs(x - mean), 0)) ** 2 + np.diag(floor)))
-        for _ in range(quality.STEPS):
-            far = np.einsum("ni,ij,nj->n", x - mean, inverse, x - mean)
-            level = np.floor(np.log2(far + 1e-3) * quality.CLASSES_PER_DOUBLING)
-            order = np.sort(level)
-            size = quality.SUBSET * len(x)
-            last = order[min(len(x) - 1, int(np.ceil(size)) - 1)]
-            near = x[level <= last]
-            mean = near.mean(0)
-            cov = (near.T @ near / len(near) - np.outer(mean, mean)) * quality.consistency()
-            inverse = np.linalg.inv(cov + floor)
+        return half_up(np.stack((np.log1p(n), chars / n, np.sqrt(symbols / n), np.log1p(lines), np.sqrt(again / n)), 1) * quality.GRID)
+
+    for key, members in group.items():
+        x = vectors([i for i in ok if rows[i][: len(key)] == key])  # an estimate stands for its whole language, or all texts
+        middle = np.median(x, 0)
+        spread = np.maximum((1.4826 * np.median(np.abs(x - middle), 0)) ** 2, np.diag(floor)) + 1.0
+        best = None
+        for first in quality.STARTS:
+            mean, inverse, share, was = middle, np.diag(1 / spread), first, None
+            while True:
+                far = np.einsum("ni,ij,nj->n", x - mean, inverse, x - mean)
+                level = np.floor(np.log2(far + 1e-3) * quality.CLASSES_PER_DOUBLING)
+                last = np.sort(level)[int(np.ceil(share * len(x))) - 1]
+                near = level <= last
+                if was is not None and (near == was).all():
+                    break
+                mean, cov, was, share = x[near].mean(0), np.cov(x[near].T, bias=True) * quality.consistency(), near, quality.SUBSET
+                cov[np.diag_indices(5)] = np.maximum(np.diag(cov), np.diag(floor)) + 1.0
+                inverse = np.linalg.inv(cov)
+            if best is None or np.linalg.det(cov) < best[0] * (1 - 1e-9):
+                best = np.linalg.det(cov), mean, inverse
+        _, mean, inverse = best
+        x = vectors(members)
         far = np.einsum("ni,ij,nj->n", x - mean, inverse, x - mean)
         for i, good in zip(members, far <= quality.chi_square_quantile(quality.QUANTILE, quality.P), strict=True):
             kept[i] = bool(good)
     return stats, kept
+
+
+def merkle(text):
+    """The root, the paragraphs' digests and the set of leaf digests of a text's tree."""
+    from findling.llm import merkle as m
+
+    leaf_end = regex.compile("(?V1)" + m.LEAF_END)
+    digest = lambda parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    leaves, flat, top = set(), [], []
+    for section in regex.split("(?V1)" + m.SECTION_END, text):
+        inner = []
+        for paragraph in regex.split("(?V1)" + m.PARAGRAPH_END, section):
+            own = [digest([x]) for x in leaf_end.split(paragraph) if x]
+            leaves.update(own)
+            inner.append(digest(own))
+        flat += inner
+        top.append(digest(inner))
+    return digest(top), flat, leaves

@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 
 import corpus_pipeline
-from findling.llm import bpe, quality
+from findling.llm import bpe, quality, repeats
 
 from . import brute
 from .test_operators import check_packing
@@ -31,8 +31,8 @@ def test_stages(spark, docs, tmp_path):
     assert {r["doc_id"] for r in after} == {c for _, c in brute.components([(r["doc_id"], r["text"]) for r in before]).values()}
     before, after = seen["repeats"]
     left = {r["doc_id"]: r["text"] for r in after}
-    for r, (n, gone, _, _) in zip(before, brute.repeats([(r["doc_id"], r["text"]) for r in before]), strict=True):
-        assert len(left[r["doc_id"]].encode()) <= n - gone and len(left[r["doc_id"]].encode()) >= n - gone - 8
+    expected = brute.repeats([(r["doc_id"], r["text"]) for r in before], repeats.PASSAGE_BYTES)
+    assert left == {r["doc_id"]: x[4] for r, x in zip(before, expected, strict=True)} and any(x[1] for x in expected)
     before, after = seen["packing"]
     path = public_tokenizers.path("byte_bpe_50k.json")
     ids = {r["doc_id"]: bpe.library(path).encode(r["text"], add_special_tokens=False).ids for r in before}

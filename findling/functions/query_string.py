@@ -49,13 +49,23 @@ def phrase_sql(field: str, words: list[str], is_text: bool) -> str:
         return f"coalesce({column} = {literal(' '.join(words))}, false)"
     if not words:
         return "false"
-    own = tokens_sql(column)
-    if len(words) == 1:
-        return f"coalesce(array_contains({own}, {literal(words[0])}), false)"
-    listed = f"array({', '.join(map(literal, words))})"
-    n = len(words)
-    slices = f"exists(sequence(0, greatest(size({own}) - {n}, 0)), _i -> slice({own}, _i + 1, {n}) = {listed})"
-    return f"coalesce(arrays_overlap({own}, {listed}) AND {slices}, false)"
+    return f"coalesce({holds_words(column)(words)}, false)"
+
+
+def holds_words(column: str) -> Callable[[list[str]], str]:
+    """The test that the text of a column has given tokens one after the other.
+
+    A token is a part of the lower-cased text, so a search for each part goes first and most texts are never cut into tokens;
+    those that are, once for each test. Tokens have letters and digits only, so the space between them can't be part of one.
+    """
+
+    def test(words: list[str]) -> str:
+        parts = " AND ".join(f"contains(lower({column}), {literal(w)})" for w in dict.fromkeys(words))
+        if len(words) == 1:
+            return f"({parts} AND array_contains({tokens_sql(column)}, {literal(words[0])}))"
+        return f"({parts} AND contains(concat(' ', array_join({tokens_sql(column)}, ' '), ' '), {literal(' ' + ' '.join(words) + ' ')}))"
+
+    return test
 
 
 class _Parser:

@@ -6,6 +6,7 @@ satisfies a clause. Literals take the field's type.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import ParsingError
 from ..functions import ScoredTerm, date_from_text, fuzzy_sql, ident, literal, parse_query_string, tokens_sql, wildcard_regex
-from ..functions.query_string import combine
+from ..functions.query_string import combine, holds_words
 from ..mapping import Mapping
 
 
@@ -75,11 +76,12 @@ class _Translator:
             return body_sql(self.mapping), "text", True
         return ident(name), kind, kind == "text"
 
-    def each(self, name: str, test: str, on_text: bool | None = None) -> str:
-        """``test`` (over {x}) of the value, or of any token."""
+    def each(self, name: str, test: str, part: str = "") -> str:
+        """``test`` (over {x}) of the value, or of any token; each token that passes has ``part``, which is looked for first."""
         column, kind, is_text = self.value(name)
         if is_text:
-            return f"coalesce(exists({tokens_sql(column)}, _t -> {test.replace('{x}', '_t')}), false)"
+            first = f"contains(lower({column}), {literal(part)}) AND " if part else ""
+            return f"coalesce({first}exists({tokens_sql(column)}, _t -> {test.replace('{x}', '_t')}), false)"
         return f"coalesce({test.replace('{x}', f'cast({column} as string)' if kind != 'keyword' else column)}, false)"
 
     def clause(self, body: dict) -> Clause:
@@ -121,7 +123,7 @@ class _Translator:
         column, kind, is_text = self.value(name)
         if is_text:
             text = ("true" if value else "false") if isinstance(value, bool) else str(value)
-            return Clause(f"coalesce(array_contains({tokens_sql(column)}, {literal(text)}), false)", [(name if self.mapping.kind(name) else "body", text, 1.0)])
+            return Clause(f"coalesce({holds_words(column)([text])}, false)", [(name if self.mapping.kind(name) else "body", text, 1.0)])
         return Clause(f"coalesce({column} = {typed(value, kind)}, false)", constant=1.0)
 
     def _terms(self, body: object) -> Clause:
@@ -155,11 +157,11 @@ class _Translator:
 
     def _wildcard(self, body: object) -> Clause:
         found = self._text(body, "wildcard")
-        return Clause("true", constant=1.0) if found is None else Clause(self.each(found[0], f"{{x}} RLIKE {literal(wildcard_regex(found[1]))}"), constant=1.0)
+        return Clause("true", constant=1.0) if found is None else Clause(self.each(found[0], f"{{x}} RLIKE {literal(wildcard_regex(found[1]))}", max(re.split(r"[*?]", found[1]), key=len)), constant=1.0)
 
     def _prefix(self, body: object) -> Clause:
         found = self._text(body, "prefix")
-        return Clause("true", constant=1.0) if found is None else Clause(self.each(found[0], f"startswith({{x}}, {literal(found[1])})"), constant=1.0)
+        return Clause("true", constant=1.0) if found is None else Clause(self.each(found[0], f"startswith({{x}}, {literal(found[1])})", found[1]), constant=1.0)
 
     def _fuzzy(self, body: object) -> Clause:
         found = _one(body, "fuzzy")

@@ -8,10 +8,12 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..errors import IllegalArgument, IndexExists, IndexNotFound, ParsingError
-from ..mapping import Mapping, check_index_name
+from ..errors import IllegalArgument, IndexExists, IndexNotFound, ParsingError, SearchError
+from ..mapping import _NAME, Mapping, check_index_name
 from ..plans.sql import SqlPlan, compile_sql, run_sql
+from .bulk import parse_ndjson
 from .index import Index
+from .storage import Folder
 
 _COMMAND = re.compile(r"""^\s*(?:(?P<show>SHOW\s+(?:TABLES|INDICES))|(?:DESCRIBE|DESC)\s+(?P<describe>\S+)|SHOW\s+CREATE\s+TABLE\s+(?P<create>\S+))\s*;?\s*$""", re.I)
 _EXPLAIN = re.compile(r"^\s*EXPLAIN\s+(?P<analyze>ANALYZE\s+)?", re.I)
@@ -44,12 +46,19 @@ class Catalog:
         self.indices[name] = Index(self, name, mapping, df, {})
         return self.indices[name]
 
+    def known(self) -> list[str]:
+        """Names of all indices, those that only the folder knows among them."""
+        stored = [n for n in Folder(self.spark, self.root).names() if Folder(self.spark, f"{self.root}/{n}").exists("_index.json")] if self.root else []
+        return sorted({*self.indices, *stored})
+
     def exists(self, name: str) -> bool:
+        if name not in self.indices and self.root and _NAME.match(name) and (index := Index.open(self, name)) is not None:
+            self.indices[name] = index
         return name in self.indices
 
     def index(self, name: str, create: bool = False) -> Index:
         """An index; ``create`` makes it on first use, as the first write does."""
-        if name not in self.indices:
+        if not self.exists(name):
             if create:
                 return self.create(name, {"dynamic": "true"})
             raise IndexNotFound(f"no such index [{name}]")
@@ -57,9 +66,8 @@ class Catalog:
 
     def drop(self, name: str) -> None:
         index = self.index(name)
-        if index.given is None and index._stored() is not None:
-            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(index.path)
-            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        if index.given is None:
+            index.folder.delete()
         del self.indices[name]
 
     def settings(self, name: str, change: dict | None = None) -> dict:
@@ -72,12 +80,14 @@ class Catalog:
                 index.mapping = Mapping(index.mapping.fields, str(value), index.mapping.dimensions)
             else:
                 index.settings[key] = value
+        if change and index.given is None:
+            index._commit()
         return {"dynamic": index.mapping.dynamic, **index.settings}
 
     # Metadata
 
     def show_tables(self) -> DataFrame:
-        rows = [(n, "local_shards" if x.given is None else "table", x.frame().count(), len(x.mapping.fields)) for n, x in sorted(self.indices.items())]
+        rows = [(n, "local_shards" if x.given is None else "table", x.frame().count(), len(x.mapping.fields)) for n, x in ((n, self.index(n)) for n in self.known())]
         return self.spark.createDataFrame(rows, "index string, engine string, docs long, fields int")
 
     def describe(self, name: str) -> DataFrame:
@@ -93,6 +103,24 @@ class Catalog:
     def cat_indices(self) -> DataFrame:
         return self.show_tables()
 
+    def cat_segments(self) -> DataFrame:
+        """The batches of all folder indices: ``index, generation, batch, files, bytes``."""
+        rows = [x for n in self.known() if self.index(n).given is None for x in self.index(n).segments()]
+        return self.spark.createDataFrame(rows, "index string, generation int, batch string, files int, bytes long")
+
+    def bulk(self, body: str) -> DataFrame:
+        """Indexes a body whose actions name their indices; one that isn't there is made. One row for each item in order."""
+        items = list(enumerate(parse_ndjson(body)))
+        by: dict[str, list[tuple[int, dict]]] = {}
+        refused = []
+        for i, item in items:
+            try:
+                by.setdefault(self.index(check_index_name(item["index"] or ""), create=True).name, []).append((i, item))
+            except SearchError:
+                refused.append((i, item["index"], item["_id"], 400))
+        done = sorted(refused + [r for name, own in by.items() for r in self.index(name)._bulk(own)])
+        return self.spark.createDataFrame(done, "item int, _index string, _id string, status int")
+
     # SQL
 
     def sql(self, text: str, strict: bool = False) -> DataFrame:

@@ -92,6 +92,75 @@ def test_bulk(catalog, tmp_path):
     assert {r["status"] for r in strict.bulk(BODY).collect()} == {400} and strict.count() == 0
 
 
+def test_bulk_files_learn_and_pair_lines_across_splits(spark, catalog, tmp_path):
+    lines = []
+    for i in range(400):
+        lines += [json.dumps({"index": {"_id": f"d{i % 300}"}}), json.dumps({"n": i, "name": f"boat {i}", "on": "2025-03-01", "_id": "ignored"}), "" if i % 3 else "  "]
+    (tmp_path / "many.ndjson").write_text("\n".join(lines))
+    index = catalog.create("learned", {"dynamic": "true"})
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        index.bulk_files(f"file://{tmp_path}/many.ndjson")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert index.mapping.fields == {"n": "integer", "name": "text", "on": "date"}
+    assert {r["_id"]: r["n"] for r in index.frame().collect()} == {f"d{i}": i + 300 if i < 100 else i for i in range(300)}
+    assert index.get("d7") == {"n": 307, "name": "boat 307", "on": "2025-03-01"}
+    with pytest.raises(StrictMapping):
+        catalog.create("narrow", {"properties": {"n": {"type": "integer"}}, "dynamic": "strict"}).bulk_files(f"file://{tmp_path}/many.ndjson")
+
+
+def test_publish_learns_and_orders(spark, catalog):
+    index = catalog.index("published", create=True)
+    rows = [("a", 1, "old"), ("a", 3, "new"), ("a", 2, "middle"), ("b", None, "only")]
+    frame = spark.createDataFrame(rows, "k string, v long, word string").repartition(4)
+    index.publish(frame, "k", order="v")
+    assert index.mapping.fields == {"k": "text", "v": "integer", "word": "text"}
+    assert sorted((r["_id"], r["word"]) for r in index.frame().collect()) == [("a", "new"), ("b", "only")]
+    assert catalog.sql("SELECT _id FROM published WHERE word = 'new'").first()["_id"] == "a"
+    index.update_all(spark.createDataFrame([("a", '{"v": null, "extra": [1, 2]}'), ("z", '{"v": 1}')], "_id string, patch string"))
+    assert index.get("a") == {"k": "a", "v": None, "word": "new", "extra": [1, 2]} and index.get("z") is None and index.get("b")["word"] == "only"
+
+
+def test_global_bulk(catalog):
+    body = "\n".join(['{"index": {"_index": "one", "_id": "x"}}', '{"t": "red"}', '{"index": {"_index": "two"}}', '{"_id": 5, "t": 1}', '{"index": {"_index": "NO"}}', '{"t": 2}', '{"index": {"_index": "one", "_id": "x"}}', '{"t": "blue"}'])
+    assert [tuple(r) for r in catalog.bulk(body).collect()] [:2] == [(0, "one", "x", 201), (1, "two", "5", 201)]
+    assert catalog.bulk(body).where("status = 400").select("_index").collect()[0][0] == "NO"
+    assert catalog.index("one").get("x") == {"t": "blue"} and catalog.index("two").get("5") == {"t": 1}
+    assert {r["index"] for r in catalog.cat_segments().collect()} == {"one", "two"}
+
+
+def test_a_catalog_knows_its_folder(spark, catalog):
+    index = catalog.create("kept", {"properties": {"t": {"type": "text"}}, "dynamic": "true"})
+    index.put({"t": "a red sail", "n": 4}, "1")
+    again = Catalog(spark, catalog.root)
+    assert again.known() == ["kept"] and again.index("kept").mapping.fields == {"t": "text", "n": "integer"}
+    assert again.sql("SELECT n FROM kept WHERE t = 'sail'").first()["n"] == 4
+    again.drop("kept")
+    assert Catalog(spark, catalog.root).known() == []
+
+
+def test_verify_and_compaction_that_breaks_off(spark, catalog, tmp_path, monkeypatch):
+    index = catalog.create("safe", {"t": "text"})
+    for i in range(3):
+        index.put({"t": f"v{i}"}, "1")
+    assert [r["status"] for r in index.verify().collect()] == ["ok"] * 3
+    monkeypatch.setattr(index, "_commit", lambda: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError):
+        index.compact()
+    monkeypatch.undo()
+    after = Catalog(spark, catalog.root).index("safe")
+    assert after.get("1") == {"t": "v2"} and after.verify().count() == 3
+    after.compact()
+    assert after.get("1") == {"t": "v2"} and [r["status"] for r in after.verify().collect()] == ["ok"]
+    file = next((tmp_path / "indices" / "safe").glob("gen-*/b-*/part-*.parquet"))
+    spark.createDataFrame([("1", 9, 0, False, '{"t": "forged"}')], "_id string, _seq long, _at long, _deleted boolean, _source string").coalesce(1).write.parquet(f"file://{tmp_path}/forged")
+    file.write_bytes(next((tmp_path / "forged").glob("part-*.parquet")).read_bytes())
+    file.with_name(f".{file.name}.crc").unlink()
+    assert [r["status"] for r in Catalog(spark, catalog.root).index("safe").verify().collect()] == ["changed"]
+
+
 def test_dates_and_rounding(spark):
     texts = ["2025-01-05T08:15:00Z", "2025-01-05T08:15:00.5", "2025-01-05", "1736064900000", "2025-02-29", "2025", "soon", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(date_from_text(F.col("t")).cast("string")).collect()]

@@ -2,13 +2,17 @@
 
 Whole texts are brought to a canonical form: ASCII case folded, lines with a copyright notice dropped,
 punctuation and white space reduced to single spaces, equivalent spellings unified. The SHA-256 of that form
-is hash-joined to the digests of the known licences, a fixed table of a few rows (so it is broadcast).
-A text is found only if the whole of it is a known licence. Texts that are null, or empty once canonical,
+is hash-joined to the digests of the known licences: the wordings below and the files of ``known_licenses``, each by itself
+and under each of its usual title lines; a fixed table of some tens of rows (so it is broadcast). ``known`` may be
+another dictionary, or a table of any size with ``license_id`` and ``wording``, which then is joined as Catalyst sees fit.
+A text is found only if the whole of it is a known licence; of several ids with one canonical form the least counts. Texts that are null, or empty once canonical,
 have no licence. Rows with one id are scanned one by one. Extra columns are not read.
 """
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,11 +44,27 @@ Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
 In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
 THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
 For more information, please refer to <https://unlicense.org>""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "MIT-line": "Released under the MIT License.",
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
 }
 
+#: Title lines that stand before a wording or don't.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "The zlib/libpng License"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+    "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License, Version 1.0"],
+}
+
 #: Spellings that are one in licence texts, replaced as whole words in this order.
 SPELLINGS = [
     ("licence", "license"),
@@ -61,8 +81,9 @@ SPELLINGS = [
     ("https", "http"),
 ]
 
-#: A line that is a copyright notice: "Copyright", "(c)" or the sign, then a year; or "All rights reserved" alone.
-NOTICE = r"^[^a-z0-9\n]*(?:(?:copyright[ \t]*(?:\(c\)|©)?|\(c\)|©)[ \t,]*(?:\(c\)|©)?[ \t]*[0-9<\[{y][^\n]*|all rights reserved[^a-z0-9\n]*)$"
+#: A line that is a copyright notice: "Copyright (c)" or the sign and anything; "Copyright" or "(c)", which begin other lines
+#: too, then a year or a place for one; or "All rights reserved" alone.
+NOTICE = r"^[^a-z0-9\n]*(?:copyright[ \t]*(?:\(c\)|©)[^\n]*|©[^\n]*|(?:copyright|\(c\))[ \t,]*(?:\(c\)|©|copyright)?[ \t]*(?:[0-9<\[{]|yyyy)[^\n]*|all rights reserved[^a-z0-9\n]*)$"
 NOISE = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -86,24 +107,38 @@ def canonical_sql(text: str) -> str:
     return f"trim({out})"
 
 
-def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
-    """Rows ``(license_id, digest)`` of the known licences."""
-    rows = spark.createDataFrame(sorted((known or KNOWN).items()), "license_id string, wording string")
-    return rows.select("license_id", F.sha2(canonical(F.col("wording")), 256).alias("digest"))
+def wordings(known: dict[str, str] | None = None) -> list[tuple[str, str]]:
+    """``(license_id, wording)`` of the known licences, with their titles and without."""
+    if known is None:
+        folder = os.path.join(os.path.dirname(os.path.abspath(__file__)), "known_licenses")
+        known = dict(KNOWN)
+        for name in sorted(os.listdir(folder)):
+            with open(os.path.join(folder, name), encoding="utf-8") as f:
+                known[name.removesuffix(".txt")] = f.read()
+    return [(k, x) for k, v in sorted(known.items()) for x in (v, *(f"{t}\n{v}" for t in TITLES.get(k, [])))]
+
+
+def known_digests(spark: SparkSession, known: dict[str, str] | DataFrame | None = None) -> DataFrame:
+    """Rows ``(license_id, digest)`` of the known licences, one for each digest."""
+    rows = known if isinstance(known, DataFrame) else spark.createDataFrame(wordings(known), "license_id string, wording string")
+    form = canonical(F.col("wording").cast("string"))
+    return rows.where(form != "").groupBy(F.sha2(form, 256).alias("_digest")).agg(F.min(F.col("license_id").cast("string")).alias("_license"))
 
 
-def license_scan(docs: DataFrame, known: dict[str, str] | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def license_scan(docs: DataFrame, known: dict[str, str] | DataFrame | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Rows ``(doc_id, canonical_sha256, license_id)``, one for each row of ``docs``."""
     form = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(canonical(F.col(text).cast("string")), 256).alias("canonical_sha256"))
-    # A fixed table of a few rows, so the side that is sent to all tasks can't grow with the data.
-    return form.join(F.broadcast(known_digests(docs.sparkSession, known)), F.col("canonical_sha256") == F.col("digest"), "left").select("doc_id", "canonical_sha256", "license_id")
+    digests = known_digests(docs.sparkSession, known)
+    if not isinstance(known, DataFrame):
+        digests = F.broadcast(digests)  # a fixed table, so the side that is sent to all tasks can't grow with the data
+    return form.join(digests, F.col("canonical_sha256") == F.col("_digest"), "left").select("doc_id", "canonical_sha256", F.col("_license").alias("license_id"))
 
 
 def oracle(known: dict[str, str] | None = None) -> str:
     """The scan of ``documents`` in DuckDB SQL."""
-    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted((known or KNOWN).items()))
+    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in wordings(known))
     return f"""
 SELECT d.doc_id, d.canonical_sha256, k.license_id
 FROM (SELECT doc_id, sha256({canonical_sql("text")}) AS canonical_sha256 FROM documents) d
-LEFT JOIN (SELECT license_id, sha256({canonical_sql("wording")}) AS digest FROM (VALUES {values}) v(license_id, wording)) k ON k.digest = d.canonical_sha256
+LEFT JOIN (SELECT sha256({canonical_sql("wording")}) AS digest, min(license_id) AS license_id FROM (VALUES {values}) v(license_id, wording) GROUP BY 1) k ON k.digest = d.canonical_sha256
 """

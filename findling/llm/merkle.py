@@ -28,7 +28,7 @@ SECTION_END = r"(?<=\n\n)(?!\n)"
 PARAGRAPH_END = r"(?<=\n)"
 #: Of every 256 code points from U+3000 to the last Hangul syllable, 16 end a leaf.
 WIDE = "".join(rf"\u{x:04x}-\u{x + 15:04x}" for x in range(0x3000, 0xD800, 0x100))
-LEAF_END = rf"(?<=[.!?]\s|[bdgkpwyß]\s|[qzQZ7;}}]|[\u3000-\ud7ff&&[{WIDE}]])"
+LEAF_END = rf"(?<=[.!?][\t-\r ]|[bdgkpwyß][\t-\r ]|[qzQZ7;}}]|[\u3000-\ud7ff&&[{WIDE}]])"
 _LEAST = -(1 << 63)
 
 
@@ -138,3 +138,44 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
         "n_shared_next",
         F.when(F.col("at") > 0, F.col("at") - 1).alias("edit_paragraph"),
     )
+
+
+def _split_sql(text: str, pattern: str) -> str:
+    """Cuts after every match; the mark between is a code point that no text has."""
+    return f"string_split(regexp_replace({text}, '({pattern})', '\\1' || chr(1114111), 'g'), chr(1114111))"
+
+
+def _tree_sql(text: str) -> str:
+    wide = "".join(rf"\x{{{x:x}}}-\x{{{x + 15:x}}}" for x in range(0x3000, 0xD800, 0x100))
+    leaf = rf"[.!?][\t-\r ]|[bdgkpwyß][\t-\r ]|[qzQZ7;}}]|[{wide}]"
+    leaves = f"list_transform(list_filter({_split_sql('p', leaf)}, lambda x: x <> ''), lambda x: sha256(x))"
+    return f"list_transform({_split_sql(text, chr(92) + 'n' + chr(92) + 'n+')}, lambda s: list_transform({_split_sql('s', chr(92) + 'n')}, lambda p: {leaves}))"
+
+
+def oracle() -> str:
+    """The report of ``documents`` in DuckDB SQL (ids without repeats)."""
+    digest = "sha256(array_to_string({0}, ''))".format
+    inner = lambda x: f"list_transform({x}, lambda s: list_transform(s, lambda p: {digest('p')}))"
+    top = lambda x: digest(f"list_transform({x}, lambda s: {digest('s')})")
+    count = lambda x: f"CAST(len({x}) AS BIGINT)"
+    dice = lambda a, b, both: f"CASE WHEN {a} + {b} = 0 THEN 1.0 ELSE 2.0 * {both} / ({a} + {b}) END"
+    return f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first(coalesce(text, '')) OVER (ORDER BY doc_id)) AS o FROM documents
+), edits AS (
+  SELECT doc_id, t, o, substr(t, 1, length(t) - length(t) // 4) || substr(o, 1, length(t) // 4) AS e FROM texts
+), trees AS (
+  SELECT doc_id, t, e, {_tree_sql("t")} AS tt, {_tree_sql("e")} AS te, {_tree_sql("o")} AS tn FROM edits
+), nodes AS (
+  SELECT doc_id, t, e, {inner("tt")} AS pt, {inner("te")} AS pe, list_distinct(flatten(flatten(tt))) AS a, list_distinct(flatten(flatten(te))) AS b, list_distinct(flatten(flatten(tn))) AS c FROM trees
+), counts AS (
+  SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(e) AS edited_sha256, {top("pt")} AS fingerprint, {top("pe")} AS edited_fingerprint,
+         {count("a")} AS n_leaves, {count("b")} AS n_edited_leaves, {count("list_intersect(a, b)")} AS n_shared_edited, {count("c")} AS n_next_leaves, {count("list_intersect(a, c)")} AS n_shared_next,
+         flatten(pt) AS x, flatten(pe) AS y
+  FROM nodes
+)
+SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {dice("n_leaves", "n_edited_leaves", "n_shared_edited")} AS near_edited, {dice("n_leaves", "n_next_leaves", "n_shared_next")} AS near_next,
+       n_leaves, n_edited_leaves, n_shared_edited, n_next_leaves, n_shared_next,
+       nullif(list_position(list_transform(range(1, greatest(len(x), len(y)) + 1), lambda i: x[i] IS NOT DISTINCT FROM y[i]), false), 0) - 1 AS edit_paragraph
+FROM counts
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses
+from . import licenses, merkle
 from .bpe import bpe_report
 from .crf import language_report
 from .merkle import fingerprint_report
@@ -139,6 +139,7 @@ SELECT b.doc_id, CAST(len(b.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(r.n, 0)
        sha256(unhex(coalesce(k.x, b.x))) AS kept_sha256, decode(unhex(coalesce(k.whole, b.x))) AS text
 FROM bytes b LEFT JOIN removed r USING (doc_id) LEFT JOIN kept k USING (doc_id)
 """,
+    "op5_merkle": merkle.oracle(),
     "op8_licenses": licenses.oracle(),
     "op9_warc": r"""
 WITH digests AS (

@@ -459,9 +459,31 @@ def test_licenses(spark, docs, nothing):
         "",
         None,
     ]
-    got = table(licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
-    assert [got[i]["license_id"] for i in range(7)] == [None, "MIT", None, "Unlicense", "Apache-2.0-line", None, None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = table(licenses.license_scan(frame))
+    assert [got[i]["license_id"] for i in range(7)] == ["MIT", "MIT", None, "Unlicense", "Apache-2.0-line", None, None]
     assert licenses.license_scan(docs).count() == docs.count() and licenses.license_scan(nothing).count() == 0
+    clashing = frame.withColumn("digest", F.lit("x")).withColumn("license_id", F.lit("y")).withColumn("_digest", F.lit("z"))
+    assert table(licenses.license_scan(clashing)) == got
+
+
+def test_licenses_in_files(spark):
+    """Every known wording under each title and notice, and as SQL finds them."""
+    import duckdb
+
+    notices = ["", "Copyright (c) Facebook, Inc. and its affiliates.\n", "Copyright 2019 The Authors. All rights reserved.\n", "© The Authors\n\n"]
+    known = licenses.wordings()
+    texts = [(i, notices[i % 4] + w.replace("\n", "\r\n" if i % 3 == 0 else "\n")) for i, (_, w) in enumerate(known)]
+    got = table(licenses.license_scan(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert [got[i]["license_id"] for i in range(len(known))] == [k for k, _ in known]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSL-1.0"} <= {k for k, _ in known}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
+    assert sorted(con.execute(licenses.oracle()).fetchall()) == sorted(tuple(r) for r in got.values())
+    table_of = spark.createDataFrame([("own", "My own terms."), ("none", " ")], "license_id string, wording string")
+    mine = licenses.license_scan(spark.createDataFrame([(1, "MY OWN TERMS"), (2, "")], "doc_id long, text string"), table_of)
+    assert {r["doc_id"]: r["license_id"] for r in mine.collect()} == {1: "own", 2: None}
 
 
 # 9

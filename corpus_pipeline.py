@@ -3,10 +3,10 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and read again as
 the next stage's ``docs``. All but the last return the columns of ``documents``; every decision takes effect:
 
-1. language: texts without an identified language go (``findling.llm.crf``);
+1. language: texts whose words no learned language explains go (``findling.llm.crf``);
 2. quality: texts that fail the base rules or are robust outliers of their language and source go;
-3. near duplicates: of every component of similar documents the one with the least id stays;
-4. repeats: bytes of 400-byte strings that also start elsewhere are cut out of the texts;
+3. near duplicates: of every component of similar documents the one row with the least id stays;
+4. repeats: bytes of strings of ``PASSAGE_BYTES`` (some 30 to 50 words) that also start elsewhere are cut out of the texts;
 5. packing: what is left becomes pieces placed in sequences of at most 2,048 tokens.
 """
 

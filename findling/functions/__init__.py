@@ -1,7 +1,6 @@
 """Column expressions with the engine's semantics, as SQL text and as columns."""
 
 from .exprs import (
-    boolean_text,
     date_from_text,
     fuzzy_sql,
     ident,
@@ -17,7 +16,6 @@ from .query_string import ScoredTerm, parse_query_string
 
 __all__ = [
     "ScoredTerm",
-    "boolean_text",
     "date_from_text",
     "fuzzy_sql",
     "ident",

@@ -100,7 +100,3 @@ def date_from_text(text: Column) -> Column:
     """The date grammar: RFC 3339, ISO local time or a date as UTC, or epoch milliseconds; else null."""
     iso = F.when(text.rlike(DATE_TEXT), text.try_cast("timestamp"))
     return F.coalesce(iso, F.when(text.rlike(r"^-?\d+$"), F.timestamp_millis(text.try_cast("bigint"))))
-
-
-def boolean_text(value: object) -> str:
-    return "true" if value else "false"

@@ -6,6 +6,9 @@ Every query goes through the public surface: the JSON DSL, the SQL front end, or
 from __future__ import annotations
 
 import json
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -370,7 +373,7 @@ def _(spark, sf_dir):
     return catalog(spark, sf_dir, "nation", "region").sql("SHOW TABLES")
 
 
-@add("show_create", None)
+@add("show_create", """SELECT 'nation' AS index, '{"mappings": {"dynamic": "false", "properties": {"n_name": {"type": "keyword"}, "n_nationkey": {"type": "integer"}, "n_regionkey": {"type": "integer"}}}, "settings": {}}' AS create_body""")
 def _(spark, sf_dir):
     return catalog(spark, sf_dir, "nation").sql("SHOW CREATE TABLE nation")
 
@@ -430,7 +433,92 @@ def _(spark, sf_dir):
     return dedup_within(table(spark, sf_dir, "events"), "ts", ["user_id", "event_type"], "1 day").agg(F.count("*").alias("n"))
 
 
-@add("rank_order_helper", "SELECT c_custkey, row_number() OVER (ORDER BY nullif(c_nationkey, 3) DESC NULLS FIRST, c_custkey) AS r FROM customer")
+@add("rank_order_helper", "SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY nullif(c_nationkey, 3) DESC NULLS FIRST, c_custkey) AS r FROM customer")
 def _(spark, sf_dir):
     key = F.nullif("c_nationkey", F.lit(3))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.row_number().over(Window.orderBy(null_last(key, True), "c_custkey")).cast("long").alias("r"))
+    within = Window.partitionBy("c_mktsegment").orderBy(null_last(key, True), "c_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey", F.row_number().over(within).cast("long").alias("r"))
+
+
+# The same meaning in every SELECT block: text by token, nulls greatest, ROUND half away from zero
+
+_THE = f"list_contains({toks('text')}, 'the')"
+sql("cte_text_token", "documents", "WITH d AS (SELECT doc_id, lang, text FROM documents) SELECT lang, count(*) AS n FROM d WHERE text = 'the' GROUP BY lang", f"SELECT lang, count(*) AS n FROM documents WHERE {_THE} GROUP BY lang")
+sql("derived_text_token", "documents", "SELECT doc_id FROM (SELECT doc_id, text FROM documents WHERE lang = 'en') t WHERE t.text = 'the'", f"SELECT doc_id FROM documents WHERE lang = 'en' AND {_THE}")
+sql("union_text_token", ("documents", "benchmark"), "SELECT doc_id AS id FROM documents WHERE text = 'the' UNION ALL SELECT item_id FROM benchmark WHERE text = 'of'", f"SELECT doc_id AS id FROM documents WHERE {_THE} UNION ALL SELECT item_id FROM benchmark WHERE list_contains({toks('text')}, 'of')")
+sql("join_text_token", ("documents", "labels"), "SELECT d.doc_id, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id AND l.toxic = 0 WHERE d.text = 'the' AND d.lang = 'en'", f"SELECT d.doc_id, l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id AND l.toxic = 0 WHERE {_THE} AND d.lang = 'en'")
+sql("exists_text_token", ("labels", "documents"), "SELECT l.doc_id FROM labels l WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.text = 'the')", f"SELECT l.doc_id FROM labels l WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND {_THE})")
+sql("cte_nulls_round", "orders", "WITH o AS (SELECT nullif(o_orderstatus, 'F') AS s, o_totalprice FROM orders) SELECT s, ROUND(avg(o_totalprice) / 1000, 1) AS p FROM o GROUP BY s ORDER BY s DESC LIMIT 2", "SELECT nullif(o_orderstatus, 'F') AS s, round(avg(o_totalprice) / 1000, 1) AS p FROM orders GROUP BY 1 ORDER BY s DESC NULLS FIRST LIMIT 2")
+sql("union_order_nulls", "events", "SELECT nullif(event_type, 'click') AS k, event_id FROM events WHERE event_id < 40 UNION ALL SELECT event_type, event_id FROM events WHERE event_id BETWEEN 100 AND 120 ORDER BY k DESC, event_id LIMIT 12", "SELECT * FROM (SELECT nullif(event_type, 'click') AS k, event_id FROM events WHERE event_id < 40 UNION ALL SELECT event_type, event_id FROM events WHERE event_id BETWEEN 100 AND 120) ORDER BY k DESC NULLS FIRST, event_id LIMIT 12")
+sql("window_lag_lead", "orders", "SELECT o_orderkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, lead(o_totalprice, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS later, nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM orders WHERE o_custkey < 200")
+sql("window_order_nulls", "customer", "SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY nullif(c_nationkey, 3) DESC, c_custkey) AS r FROM customer", "SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY nullif(c_nationkey, 3) DESC NULLS FIRST, c_custkey) AS r FROM customer")
+sql("text_match_long_phrase", "documents", "SELECT count(*) AS n FROM documents WHERE text_match(text, '\"that the\"') AND n_chars > 2000", f"SELECT count(*) AS n FROM documents WHERE n_chars > 2000 AND contains(' ' || array_to_string({toks('text')}, ' ') || ' ', ' that the ')")
+
+
+@add("knn_inner_product", f"SELECT vec_id, round(1 - list_inner_product(CAST(embedding AS DOUBLE[]), CAST({_VECTOR} AS DOUBLE[])), 6) AS dist FROM embeddings ORDER BY dist, CAST(vec_id AS VARCHAR) LIMIT 7")
+def _(spark, sf_dir):
+    return near(spark, sf_dir, metric="inner_product", k=7).select("vec_id", F.round("_knn_distance", 6).alias("dist"))
+
+
+@add("hits_with_aggs", "SELECT lang AS key, count(*) AS doc_count, (SELECT count(*) FROM documents WHERE n_chars > 3000) AS total FROM documents WHERE n_chars > 3000 GROUP BY lang")
+def _(spark, sf_dir):
+    found = index(spark, sf_dir, "documents").search({"query": {"range": {"n_chars": {"gt": 3000}}}, "size": 3, "aggs": {"by": {"terms": {"field": "lang", "size": 100}}}})
+    return found.aggs["by"].select("key", "doc_count").withColumn("total", F.lit(found.total()).cast("long"))
+
+
+@add("search_q", f"SELECT count(*) AS count FROM documents WHERE list_contains({toks('concat_ws(chr(32), doc_id, text, lang, source, n_chars)')}, 'src3')")
+def _(spark, sf_dir):
+    return spark.range(1).select(F.lit(index(spark, sf_dir, "documents").search_q("src3").total()).cast("long").alias("count"))
+
+
+# Folder indices
+
+
+def folder_catalog(spark: SparkSession) -> Catalog:
+    """A catalog in a new folder of the one that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "findling-shared")
+    return Catalog(spark, f"{base.rstrip('/')}/findling/indices-{uuid.uuid4().hex[:12]}")
+
+
+@add("publish_then_sql", "SELECT o_orderstatus, count(*) AS n, max(o_orderdate) AS last FROM orders GROUP BY 1")
+def _(spark, sf_dir):
+    held = folder_catalog(spark)
+    held.index("orders", create=True).publish(table(spark, sf_dir, "orders"), "o_orderkey")
+    held.settings("orders", {"dynamic": "false"})
+    return held.index("orders").frame().groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.max(F.to_timestamp("o_orderdate")).cast("timestamp_ntz").alias("last"))
+
+
+@add("publish_in_order", "SELECT CAST(user_id AS VARCHAR) AS _id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id * 7919 % 1000003 DESC) = 1")
+def _(spark, sf_dir):
+    held = folder_catalog(spark)
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") * 7919 % 1000003).alias("rank"))
+    held.index("events", create=True).publish(rows, "user_id", order="rank")
+    return held.index("events").frame().select("_id", "event_id")
+
+
+@add("update_documents", "SELECT CAST(c_custkey AS VARCHAR) AS _id, CASE WHEN c_custkey % 3 = 0 THEN 'MOVED' ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS name FROM customer")
+def _(spark, sf_dir):
+    held = folder_catalog(spark).create("customer", {"segment": "keyword", "name": "keyword"})
+    rows = table(spark, sf_dir, "customer")
+    held.publish(rows.select("c_custkey", F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("name")), "c_custkey")
+    held.update_all(rows.where("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("_id"), F.lit('{"segment": "MOVED", "name": null}').alias("patch")))
+    held.compact()
+    return held.frame()
+
+
+@add("bulk_files_latest", "SELECT CAST(user_id AS VARCHAR) AS _id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def _(spark, sf_dir):
+    held = folder_catalog(spark)
+    action = F.concat(F.lit('{"index": {"_id": "'), F.col("user_id").cast("string"), F.lit('"}}'))
+    body = table(spark, sf_dir, "events").select("event_id", F.concat_ws("\n", action, F.to_json(F.struct("event_id", "event_type"))).alias("value"))
+    body.orderBy("event_id").select("value").write.text(f"{held.root}.bodies")
+    index = held.index("events", create=True)
+    index.bulk_files(f"{held.root}.bodies")
+    return index.frame().select("_id", "event_id", "event_type")
+
+
+@add("verify_files", "SELECT 'ok' AS status, count(*) AS rows FROM orders")
+def _(spark, sf_dir):
+    held = folder_catalog(spark).create("orders", {"o_orderstatus": "keyword"})
+    held.publish(table(spark, sf_dir, "orders"), "o_orderkey")
+    return held.verify().groupBy("status").agg(F.sum("rows").alias("rows"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import date_from_text, ident
 from ..mapping import SPARK_TYPES, Mapping
@@ -45,13 +44,3 @@ def read_source(spark: SparkSession, path: str, kind: str = "parquet", mapping:
     elif key:
         df = df.withColumn("_id", F.col(ident(key)).cast("string"))
     return df
-
-
-def widen(kind: T.DataType, other: T.DataType) -> T.DataType:
-    """The type that two batches of a column meet in: integers and floats in double, numbers win over strings."""
-    if kind == other:
-        return kind
-    numbers = [x for x in (kind, other) if isinstance(x, T.NumericType)]
-    if len(numbers) == 2:
-        return T.DoubleType()
-    return numbers[0] if numbers else T.StringType()

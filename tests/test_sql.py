@@ -103,6 +103,8 @@ def test_errors(spark, voyages):
         voyages.sql("SELECT 1 AS x FROM ports")
     with pytest.raises(SqlFailed):
         voyages.sql("SELECT tonnage FROM voyages")
+    with pytest.raises(SqlFailed):  # an output name means nothing in WHERE
+        voyages.sql("SELECT miles / hours AS knots FROM voyages WHERE knots > 8")
     with pytest.raises(ParsingError):
         voyages.sql("SELECT text_match(log) FROM voyages")
     with pytest.raises(ParsingError):

@@ -5,13 +5,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from ..errors import ParsingError
 from .exprs import MAX_TOKEN_BYTES, ident, literal, tokens_sql
 
 #: field, token, boost
 ScoredTerm = tuple[str, str, float]
+#: What every match has: of each set at least one (field, token).
+Needs = list[frozenset[tuple[str, str]]]
 
 _LEX = re.compile(r'\s*(?:(?P<phrase>"(?:[^"\\]|\\.)*")|(?P<open>\()|(?P<close>\))|(?P<boost>\^\d+(?:\.\d+)?)|(?P<sign>[+-])(?=\S)|(?P<field>[A-Za-z_][\w.]*):(?=\S)|(?P<word>[^\s()"^]+))')
 
@@ -33,6 +35,7 @@ class _Node:
     sql: str
     terms: list[ScoredTerm]
     occur: str = ""  # "must", "not" or "" for an alternative
+    needs: Needs = field(default_factory=list)
 
 
 def combine(must: list[str], should: list[str], must_not: list[str]) -> str:
@@ -43,6 +46,17 @@ def combine(must: list[str], should: list[str], must_not: list[str]) -> str:
     return " AND ".join(positive + [f"NOT ({x})" for x in must_not])
 
 
+def combined_needs(must: list[Needs], should: list[Needs]) -> Needs:
+    """What a boolean query's matches have, from what those of its parts have."""
+    if must:
+        return [x for part in must for x in part]
+    if not should or not all(should):
+        return []
+    if len(should) == 1:
+        return should[0]
+    return [frozenset().union(*(min(part, key=len) for part in should))]
+
+
 def phrase_sql(field: str, words: list[str], is_text: bool) -> str:
     column = ident(field)
     if not is_text:
@@ -108,7 +122,8 @@ class _Parser:
                     x.occur = x.occur or "must"
         terms = [t for x in nodes if x.occur != "not" for t in x.terms]
         by = {k: [x.sql for x in nodes if x.occur == k] for k in ("must", "", "not")}
-        return _Node(combine(by["must"], by[""], by["not"]) if nodes else "false", terms)
+        needs = combined_needs([x.needs for x in nodes if x.occur == "must"], [x.needs for x in nodes if x.occur == ""])
+        return _Node(combine(by["must"], by[""], by["not"]) if nodes else "false", terms, needs=needs)
 
     def clause(self, field: str) -> _Node:
         occur = ""
@@ -146,7 +161,12 @@ class _Parser:
         if not self.is_text(field):
             return _Node(f"coalesce(cast({ident(field)} as string) = {literal(text)}, false)", [])
         words = analyse(text)
-        return _Node(phrase_sql(field, words, True), [(field, w, 1.0) for w in words])
+        return _Node(phrase_sql(field, words, True), [(field, w, 1.0) for w in words], needs=[frozenset([(field, w)]) for w in dict.fromkeys(words)])
+
+
+def query_needs(text: str, field: str, is_text: Callable[[str], bool] = lambda _: True) -> Needs:
+    """The tokens that every match of a query string has."""
+    return _Parser(text, field, is_text).group(field, False).needs
 
 
 def parse_query_string(text: str, field: str, is_text: Callable[[str], bool] = lambda _: True) -> tuple[str, list[ScoredTerm]]:

@@ -14,17 +14,21 @@ from pyspark.sql import functions as F
 
 from ..errors import ParsingError
 from ..functions import ScoredTerm, date_from_text, fuzzy_sql, ident, literal, parse_query_string, tokens_sql, wildcard_regex
-from ..functions.query_string import combine, holds_words
+from ..functions.query_string import Needs, combine, combined_needs, holds_words, query_needs
 from ..mapping import Mapping
 
 
 @dataclass
 class Clause:
-    """A condition (never null) and the terms that score a match; ``constant`` counts matches of other scored clauses."""
+    """A condition (never null) and the terms that score a match; ``constant`` counts matches of other scored clauses.
+
+    ``needs`` says what tokens every match has, for indices that know where tokens are.
+    """
 
     sql: str
     terms: list[ScoredTerm] = field(default_factory=list)
     constant: float = 0.0
+    needs: Needs = field(default_factory=list)
 
     def column(self) -> Column:
         return F.expr(self.sql)
@@ -112,7 +116,7 @@ class _Translator:
         if self.mapping.kind(name) is None:
             sql, terms = parse_query_string(str(value), "body", lambda f: f == "body" or self.mapping.is_text(f))
             return Clause(sql.replace(ident("body"), column), [(f, t, b) for f, t, b in terms])
-        return Clause(*parse_query_string(str(value), name, self.mapping.is_text))
+        return Clause(*parse_query_string(str(value), name, self.mapping.is_text), needs=query_needs(str(value), name, self.mapping.is_text))
 
     def _term(self, body: object) -> Clause:
         found = _one(body, "term")
@@ -123,7 +127,7 @@ class _Translator:
         column, kind, is_text = self.value(name)
         if is_text:
             text = ("true" if value else "false") if isinstance(value, bool) else str(value)
-            return Clause(f"coalesce({holds_words(column)([text])}, false)", [(name if self.mapping.kind(name) else "body", text, 1.0)])
+            return Clause(f"coalesce({holds_words(column)([text])}, false)", [(name if self.mapping.kind(name) else "body", text, 1.0)], needs=[frozenset([(name, text)])] if self.mapping.kind(name) else [])
         return Clause(f"coalesce({column} = {typed(value, kind)}, false)", constant=1.0)
 
     def _terms(self, body: object) -> Clause:
@@ -186,7 +190,8 @@ class _Translator:
         required = [x.sql for x in part["must"] + part["filter"]]
         sql = combine(required, [x.sql for x in part["should"]], [x.sql for x in part["must_not"]])
         scored = part["must"] + part["should"]  # a filter decides, but doesn't score
-        return Clause(sql, [t for x in scored for t in x.terms], sum(x.constant for x in part["must"]))
+        needs = combined_needs([x.needs for x in part["must"] + part["filter"]], [x.needs for x in part["should"]])
+        return Clause(sql, [t for x in scored for t in x.terms], sum(x.constant for x in part["must"]), needs)
 
 
 def translate(query: dict | None, mapping: Mapping) -> Clause:

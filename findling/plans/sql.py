@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..errors import GroupByText, ParsingError, SqlFailed
 from ..functions import ident, literal, parse_query_string, tokens_sql
+from ..functions.query_string import query_needs
 from ..mapping import Mapping
 from ..operators.clauses import Clause, translate
 from ..operators.scoring import bm25
@@ -50,6 +51,8 @@ class SqlPlan:
     semijoin: bool = False
     count_only: bool = False
     terms: list = field(default_factory=list)
+    needs: list = field(default_factory=list)
+    uses: int = 0
 
     def facts(self) -> dict:
         """EXPLAIN's logical part."""
@@ -248,6 +251,7 @@ class _Compiler:
                         text, mapping = ident(own), env[own.lower()]
                     elif self.known(own) and (i >= len(tokens) or tokens[i].text not in ("(", ".")):
                         text, mapping = self.view_of(own), self.mapping_of(own)
+                        self.plan.uses += own == self.plan.index
                     else:
                         text, mapping, own = spell([t]), Mapping(), None
                         while i < len(tokens) and tokens[i].text in (".", "("):  # a path or a table function
@@ -436,6 +440,8 @@ class _Compiler:
                 conditions.append(f"({pushed})")
                 continue
             done = self.text_matches(some, True)
+            if where and top and len(done) == 1 and some[0].upper == "TEXT_MATCH" and self.mapping.is_text(self.column(some[2]) or ""):
+                self.plan.needs += query_needs(some[4].value, (self.column(some[2]) or "").rpartition(".")[2], self.mapping.is_text)
             if where and not (len(done) == 1 and len(some) == 6 and some[0].upper == "TEXT_MATCH"):
                 self.plan.residual.append(spell(some))
             conditions.append(f"({self.nested(done, aliases, env)})")
@@ -580,7 +586,7 @@ ROUND = "CREATE OR REPLACE TEMPORARY FUNCTION findling_round(x DOUBLE, n INT DEF
 _ANALYSIS = threading.Lock()
 
 
-def run_sql(spark: SparkSession, sql: str, frame_of: Callable[[str], DataFrame], mapping_of: Callable[[str], Mapping], strict: bool = False, known: Callable[[str], bool] = lambda _: True) -> tuple[DataFrame, SqlPlan]:
+def run_sql(spark: SparkSession, sql: str, frame_of: Callable[[str, list], DataFrame], mapping_of: Callable[[str], Mapping], strict: bool = False, known: Callable[[str], bool] = lambda _: True) -> tuple[DataFrame, SqlPlan]:
     """The statement's DataFrame (lazy) and plan facts. The views that analysis needs are gone when it returns."""
     views: dict[str, str] = {}
 
@@ -589,7 +595,8 @@ def run_sql(spark: SparkSession, sql: str, frame_of: Callable[[str], DataFrame],
 
     plan = compile_sql(sql, mapping_of, strict, view_of, known)
     for name, view in views.items():
-        frame = frame_of(name)
+        once = name == plan.index and plan.uses == 1 and not plan.scored  # scores count the whole table
+        frame = frame_of(name, plan.needs if once else [])
         if plan.scored and name == plan.index:
             frame = bm25(frame, Clause("true", plan.terms), mapping_of(name))
         frame.createOrReplaceTempView(view)

@@ -18,7 +18,7 @@ from .functions import null_last, round_half_away, safe_divide
 from .operators import aggregate, bm25, knn, rrf, search, translate
 from .operators import count as count_matches
 from .operators.search import after
-from .sources import Catalog, Index, latest
+from .sources import Catalog, Index, TermFiles, latest
 from .sources.index import overlay
 from .streaming import dedup_within, session_counts, tumbling_counts
 
@@ -522,3 +522,12 @@ def _(spark, sf_dir):
     held = folder_catalog(spark).create("orders", {"o_orderstatus": "keyword"})
     held.publish(table(spark, sf_dir, "orders"), "o_orderkey")
     return held.verify().groupBy("status").agg(F.sum("rows").alias("rows"))
+
+
+@add("text_match_pruned", f"SELECT doc_id, lang FROM documents WHERE list_has_all({toks('text')}, ['anthat', 'the'])")
+def _(spark, sf_dir):
+    held = folder_catalog(spark)
+    table(spark, sf_dir, "documents").repartitionByRange(16, "doc_id").write.parquet(f"{held.root}/table")
+    TermFiles(spark, f"{held.root}/terms").build(f"{held.root}/table", ["text"])
+    held.register_files("documents", f"{held.root}/table", ("text",), "doc_id", f"{held.root}/terms")
+    return held.sql("SELECT doc_id, lang FROM documents WHERE text_match(text, 'anthat AND the')")

@@ -14,6 +14,7 @@ from ..plans.sql import SqlPlan, compile_sql, run_sql
 from .bulk import parse_ndjson
 from .index import Index
 from .storage import Folder
+from .terms import TermFiles
 
 _COMMAND = re.compile(r"""^\s*(?:(?P<show>SHOW\s+(?:TABLES|INDICES))|(?:DESCRIBE|DESC)\s+(?P<describe>\S+)|SHOW\s+CREATE\s+TABLE\s+(?P<create>\S+))\s*;?\s*$""", re.I)
 _EXPLAIN = re.compile(r"^\s*EXPLAIN\s+(?P<analyze>ANALYZE\s+)?", re.I)
@@ -46,6 +47,14 @@ class Catalog:
         self.indices[name] = Index(self, name, mapping, df, {})
         return self.indices[name]
 
+    def register_files(self, name: str, path: str, text: tuple[str, ...] = (), key: str | None = None, terms: str | None = None) -> Index:
+        """A Parquet table as a read-only index. ``terms`` is the folder of an index of its terms (``TermFiles``), by which
+        unscored text clauses read only the files that can match."""
+        index = self.register(name, self.spark.read.parquet(path), text, key)
+        if terms is not None:
+            index.files = (path, key, TermFiles(self.spark, terms))
+        return index
+
     def known(self) -> list[str]:
         """Names of all indices, those that only the folder knows among them."""
         stored = [n for n in Folder(self.spark, self.root).names() if Folder(self.spark, f"{self.root}/{n}").exists("_index.json")] if self.root else []
@@ -136,7 +145,7 @@ class Catalog:
         if found := _EXPLAIN.match(text):
             facts = self.explain(text[found.end() :], bool(found["analyze"]), strict)
             return self.spark.createDataFrame([(json.dumps(facts, sort_keys=True),)], "plan string"), None
-        return run_sql(self.spark, text, lambda n: self.index(n).frame(), lambda n: self.index(n).mapping, strict, self.exists)
+        return run_sql(self.spark, text, lambda n, needs: self.index(n).frame_for(needs), lambda n: self.index(n).mapping, strict, self.exists)
 
     def stream(self, text: str, strict: bool = False) -> Iterator[str]:
         """NDJSON frames: one of metadata, then one for each row, partition by partition."""

@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import DocumentMissing, IllegalArgument, SearchError, StrictMapping
+from ..functions.query_string import Needs
 from ..mapping import Mapping
-from ..operators import SearchResult, count, search
+from ..operators import SearchResult, count, search, translate
+from ..operators.search import sort_keys
 from .bulk import bulk_rows, learned, parse_ndjson
 from .readers import columns_of
 from .storage import Folder
+from .terms import TermFiles
 
 if TYPE_CHECKING:
     from .catalog import Catalog
@@ -58,6 +61,7 @@ class Index:
     def __init__(self, catalog: Catalog, name: str, mapping: Mapping, frame: DataFrame | None, settings: dict):
         self.catalog, self.name, self.mapping, self.given, self.settings = catalog, name, mapping, frame, settings
         self.spark, self.pending, self.seq, self.generation = catalog.spark, [], 0, 0
+        self.files: tuple[str, str | None, TermFiles] | None = None
         if frame is None:
             self.folder = Folder(self.spark, f"{catalog.root}/{name}")
             stored = self.folder.read_json("_index.json")
@@ -121,6 +125,16 @@ class Index:
             return self.given
         return columns_of(self.sources(), self.mapping)
 
+    def frame_for(self, needs: Needs) -> DataFrame:
+        """The rows that can match a clause with these needs: fewer files than ``frame`` reads, if the terms' places are known."""
+        if self.files is None or not needs:
+            return self.frame()
+        path, key, terms = self.files
+        whole = self.spark.read.parquet(path)
+        kept = terms.kept(whole.inputFiles(), [x for x in needs if all(f in self.mapping.fields for f, _ in x)])
+        rows = self.spark.read.schema(whole.schema).parquet(*kept) if kept else self.spark.createDataFrame([], whole.schema)
+        return rows if key is None else rows.withColumn("_id", rows[key].cast("string"))
+
     def sources(self) -> DataFrame:
         """``_id`` and the JSON of the live documents."""
         return latest(self._log(), seq=["_seq", "_at"]).select("_id", "_source")
@@ -275,7 +289,11 @@ class Index:
     # Reads
 
     def search(self, request: dict) -> SearchResult:
-        return search(self.frame(), request, self.mapping)
+        sorted_by = [n for n, _ in sort_keys(request.get("sort", []))]
+        unscored = sorted_by and "_score" not in sorted_by or request.get("size", 10) == 0  # scores count the whole table
+        narrow = unscored and "knn" not in request and self.files is not None
+        frame = self.frame_for(translate(request.get("query"), self.mapping).needs) if narrow else self.frame()
+        return search(frame, request, self.mapping)
 
     def search_q(self, q: str, size: int = 10, start: int = 0) -> SearchResult:
         """``?q=``: ``*`` is all, else words on the catch-all."""
@@ -283,4 +301,5 @@ class Index:
         return self.search({"query": query, "size": size, "from": start})
 
     def count(self, request: dict | None = None) -> int:
-        return count(self.frame(), request, self.mapping).first()["count"]
+        frame = self.frame_for(translate((request or {}).get("query"), self.mapping).needs) if self.files is not None else self.frame()
+        return count(frame, request, self.mapping).first()["count"]

@@ -161,6 +161,29 @@ def test_verify_and_compaction_that_breaks_off(spark, catalog, tmp_path, monkeyp
     assert [r["status"] for r in Catalog(spark, catalog.root).index("safe").verify().collect()] == ["changed"]
 
 
+def test_text_clauses_read_only_files_that_can_match(spark, tmp_path):
+    from findling.sources import TermFiles
+
+    rows = [(i, f"word{i} common {'rare' if i in (5, 25) else 'usual'}", i % 4) for i in range(40)]
+    spark.createDataFrame(rows, "k long, t string, n long").repartitionByRange(8, "k").write.parquet(f"file://{tmp_path}/table")
+    TermFiles(spark, f"file://{tmp_path}/terms").build(f"file://{tmp_path}/table", ["t"])
+    catalog = Catalog(spark)
+    index = catalog.register_files("table", f"file://{tmp_path}/table", ("t",), "k", f"file://{tmp_path}/terms")
+    read = lambda df: len(df.inputFiles())
+    cases = [("rare", 2, 2), ("common", 8, 40), ("rare AND word5", 1, 1), ("+rare -word5", 2, 1), ("word1 word39", 2, 2), ("-rare +usual", 8, 38), ("absent", 0, 0), ("rare OR k", 2, 2), ('"common rare"', 2, 2)]
+    for text, files, hits in cases:
+        df = catalog.sql(f"SELECT k FROM table WHERE text_match(t, '{text}') AND n >= 0")
+        assert (read(df), df.count()) == (files, hits), text
+    twice = catalog.sql("SELECT k FROM table WHERE text_match(t, 'rare') AND n IN (SELECT n FROM table WHERE k = 5)")
+    assert sorted(r["k"] for r in twice.collect()) == [5, 25]
+    found = index.search({"query": {"bool": {"filter": [{"term": {"t": "rare"}}], "must_not": [{"term": {"n": 3}}]}}, "sort": ["k"]})
+    assert read(found.matched) == 2 and [r["k"] for r in found.hits.collect()] == [5, 25]
+    assert index.count({"query": {"match": {"t": "rare"}}}) == 2
+    assert len(index.search({"query": {"match": {"t": "rare"}}}).hits.collect()) == 2  # scored over the whole table
+    spark.createDataFrame([(99, "rare again", 0)], "k long, t string, n long").write.mode("append").parquet(f"file://{tmp_path}/table")
+    assert catalog.register_files("table", f"file://{tmp_path}/table", ("t",), "k", f"file://{tmp_path}/terms").count({"query": {"match": {"t": "rare"}}}) == 3
+
+
 def test_dates_and_rounding(spark):
     texts = ["2025-01-05T08:15:00Z", "2025-01-05T08:15:00.5", "2025-01-05", "1736064900000", "2025-02-29", "2025", "soon", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(date_from_text(F.col("t")).cast("string")).collect()]

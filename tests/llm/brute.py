@@ -103,12 +103,12 @@ def judge(rows, quality):
         best = None
         for first in quality.STARTS:
             mean, inverse, share, was = middle, np.diag(1 / spread), first, None
-            while True:
+            for step in range(quality.STEPS + 1):
                 far = np.einsum("ni,ij,nj->n", x - mean, inverse, x - mean)
                 level = np.floor(np.log2(far + 1e-3) * quality.CLASSES_PER_DOUBLING)
                 last = np.sort(level)[int(np.ceil(share * len(x))) - 1]
                 near = level <= last
-                if was is not None and (near == was).all():
+                if was is not None and (near == was).all() or step == quality.STEPS:
                     break
                 mean, cov, was, share = x[near].mean(0), np.cov(x[near].T, bias=True) * quality.consistency(), near, quality.SUBSET
                 cov[np.diag_indices(5)] = np.maximum(np.diag(cov), np.diag(floor)) + 1.0

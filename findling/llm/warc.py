@@ -3,9 +3,9 @@
 Records are range-sorted by page id. Exact running sums of payload bytes over that order cut the ids into
 shards of about ``SHARD_BYTES`` (more for very large tables: at most ``MOST_SHARDS``), so shards depend on the table alone,
 not on partitions or sampling. A page id whose rows alone fill several shards is dealt to them by payload digest. One task
-writes a shard: it sorts its records, makes headers and digests anew, compresses each record as a gzip
-member of its own and rolls to the next file once the compressed size passes ``ROLL_BYTES``. A file is written
-under a temporary name and moved to its own when whole; the manifest (a table in the same folder, committed
+writes a shard, and each task gets as many shards as any other: it sorts its records, makes headers and digests anew,
+compresses each record as a gzip member of its own and rolls to the next file once the compressed size passes
+``ROLL_BYTES``. A file is written under a temporary name and moved to its own when whole; the manifest (a table in the same folder, committed
 last) names each file with its size, records and digest. Readers open only files of the manifest, so what
 a lost or repeated task left behind is never read.
 
@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import MOST_TASKS, Workspace, dealt, ordered
@@ -106,11 +106,11 @@ class _File:
 MANIFEST = "file string, records long, bytes long, sha256 string, first_id long, last_id long"
 
 
-def _write(folder: str, roll_bytes: int):
+def _write(folder: str, roll_bytes: int, sent):
     def run(pages, plans):
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
-        shard = plans.column("shard")[0].as_py() if plans.num_rows else 0
+        shard = int(np.flatnonzero(sent.value[1] == plans.column("shard")[0].as_py())[0]) if plans.num_rows else 0
         # Both sides have one row for each page; equal ids are paired in the order of their digests.
         plan = sorted(zip(*(plans.column(c).to_pylist() for c in ("page_id", "digest", "revisit", "refers_to")), strict=True), key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2] is True))
         html, ids, urls = pages.column("html"), pages.column("page_id").to_pylist(), pages.column("url").to_pylist()
@@ -153,6 +153,21 @@ def _plan(pages: DataFrame, space: Workspace, min_bytes: int) -> DataFrame:
     return space.save(found.select("page_id", "digest", "n", revisit.alias("revisit"), F.when(revisit, F.col("target")).alias("refers_to")), "plan")
 
 
+def _keys(spark: SparkSession, shards: int) -> np.ndarray:
+    """For each shard a number that Spark's hash deals to a task of its own, or to the task of as many others as any."""
+    tasks = min(MOST_TASKS, shards)
+    each = -(-shards // tasks)
+    slot = F.expr(f"pmod(hash(id), {tasks})")
+    rank = F.row_number().over(Window.partitionBy("slot").orderBy("id")) - 1
+    found = spark.range(tasks * (2 * each + 40)).withColumn("slot", slot).withColumn("rank", rank).where(F.col("rank") < each)
+    out = np.full(tasks * each, -1, np.int64)
+    for r in found.toLocalIterator():  # about one row a shard
+        out[r["rank"] * tasks + r["slot"]] = r["id"]
+    if (out[:shards] < 0).any():
+        raise ValueError("too few numbers for the shards")
+    return out[:shards]
+
+
 def write_archives(pages: DataFrame, space: Workspace, min_bytes: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> tuple[str, DataFrame]:
     """Writes ``pages (page_id, url, html)``: the archives' folder and the committed manifest."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
@@ -162,21 +177,23 @@ def write_archives(pages: DataFrame, space: Workspace, min_bytes: int = 0, shard
     shard_bytes = max(shard_bytes, -(-total // MOST_SHARDS))
     cuts = placed.groupBy(F.floor(F.col("before") / shard_bytes).alias("shard")).agg(F.min(F.coalesce("page_id", F.lit(NO_ID))).alias("first")).where("shard > 0")
     starts = np.array(sorted(row["first"] for row in cuts.select("first").toLocalIterator()), np.int64)  # one id a shard, so MOST_SHARDS at most
-    sent = pages.sparkSession.sparkContext.broadcast(starts)
+    keys = _keys(pages.sparkSession, len(starts) + 1)
+    sent = pages.sparkSession.sparkContext.broadcast((starts, keys))
 
     def shard_of(ids: pd.Series, digests: pd.Series) -> pd.Series:
-        lo, hi = (np.searchsorted(sent.value, ids.to_numpy(np.int64), side) for side in ("left", "right"))
+        first, key = sent.value
+        lo, hi = (np.searchsorted(first, ids.to_numpy(np.int64), side) for side in ("left", "right"))
         wide = hi > lo + 1  # the id begins several shards
         salt = digests.str.slice(0, 8).map(lambda x: int(x, 16)).to_numpy(np.int64)
-        return pd.Series(np.where(wide, lo + salt % (hi - lo + 1), hi))
+        return pd.Series(key[np.where(wide, lo + salt % (hi - lo + 1), hi)])
 
     key = F.coalesce("page_id", F.lit(NO_ID))
     folder = f"{space.path}/archives"
     shard = F.pandas_udf(shard_of, "long")
-    tasks = min(MOST_TASKS, 2 * (len(starts) + 1))  # two for each shard, so that few tasks get more than one
+    tasks = min(MOST_TASKS, len(keys))
     left = pages.withColumn("shard", shard(key, F.sha1("html"))).repartition(tasks, "shard").groupBy("shard")
     right = plan.withColumn("shard", shard(key, "digest")).repartition(tasks, "shard").groupBy("shard")
-    written = left.cogroup(right).applyInArrow(_write(folder, roll_bytes), MANIFEST)
+    written = left.cogroup(right).applyInArrow(_write(folder, roll_bytes, sent), MANIFEST)
     return folder, space.save(written, "manifest")
 
 

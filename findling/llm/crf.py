@@ -241,7 +241,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, window: int = WINDOW) -> Model:
         if taken.get(r["label"], 0) < sample:
             taken[r["label"]] = taken.get(r["label"], 0) + 1
             rows.append((r["label"], r["part"]))
-    return train(rows)
+    model = train(rows)
+    K.give_back()
+    return model
 
 
 def _judge(model: Model, raw: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:

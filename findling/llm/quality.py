@@ -165,7 +165,7 @@ def _states(batches):
         yield pa.RecordBatch.from_arrays(columns, ["grp", "start", "n", "mean", "inverse", "volume"])
 
 
-STATE = "grp string, start int, n long, mean array<double>, inverse array<double>, volume double"
+STATE = "grp int, start int, n long, mean array<double>, inverse array<double>, volume double"
 
 
 def distance() -> Column:
@@ -196,8 +196,15 @@ def grouped(stats: DataFrame, space: Workspace) -> DataFrame:
 
 
 def fit(vectors: DataFrame, space: Workspace) -> DataFrame:
-    """Rows ``(grp, mean, inverse)``: the estimate of each group, from all rows that it stands for."""
-    vectors = vectors.select(F.explode("fits").alias("grp"), *(f"x{i}" for i in range(P)))
+    """Rows ``(grp, mean, inverse)``: the estimate of each group, from all rows that it stands for.
+
+    Inside, groups are numbered. A join with a few broadcast rows takes a page of tens of MB in each executor if its key is
+    a string, and keeps it while the broadcast lives; for integers it takes what the rows need. Each step has such joins.
+    """
+    vectors = vectors.select(F.explode("fits").alias("name"), *(f"x{i}" for i in range(P)))
+    number = F.row_number().over(Window.orderBy("name"))  # one row for each group
+    numbers = space.save(vectors.select("name").distinct().select("name", number.cast("int").alias("grp")), "numbers")
+    vectors = space.save(vectors.join(numbers, "name").select("grp", *(f"x{i}" for i in range(P))), "numbered")
     middle = vectors.groupBy("grp").agg(*(F.percentile(f"x{i}", F.lit(0.5)).alias(f"m{i}") for i in range(P)))  # counts by grid value
     middle = space.save(middle, "medians")
     spread = vectors.join(middle, "grp").groupBy("grp").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(P)), *(F.percentile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), F.lit(0.5)).alias(f"s{i}") for i in range(P)))
@@ -219,7 +226,8 @@ def fit(vectors: DataFrame, space: Workspace) -> DataFrame:
         if state.join(was, ["grp", "start"]).where("n <> was_n or mean <> was_mean or inverse <> was_inverse").isEmpty():
             break
         state = state.withColumn("share", F.lit(SUBSET))
-    return state.groupBy("grp").agg(F.min_by(F.struct("mean", "inverse"), F.struct("volume", "start")).alias("best")).select("grp", "best.*")
+    best = state.groupBy("grp").agg(F.min_by(F.struct("mean", "inverse"), F.struct("volume", "start")).alias("best"))
+    return best.join(numbers, "grp").select(F.col("name").alias("grp"), "best.*")
 
 
 def judged(docs: DataFrame, space: Workspace) -> DataFrame:

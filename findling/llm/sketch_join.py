@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
 from . import _kernel as K
-from ._shared import Workspace, components, spread
+from ._shared import Workspace, components, relabelled, spread
 
 #: Words in a shingle, and the similarity (numerator over 100) from which two sets link.
 SHINGLE_WORDS = 5
@@ -464,6 +464,16 @@ def _labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
     return rows.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def _joined(space: Workspace, label: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """Labels after further links: components are found over the components so far, never again over their links."""
+    if links.isEmpty():
+        return label
+    of = lambda side: label.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    more = components(space, between, f"{name}-joined")
+    return space.save(relabelled(label, more).union(more.join(label, "node", "left_anti").select("node", "component")), f"{name}-labels")
+
+
 def _components(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame, Workspace]:
     """The measured rows, and ``(set_key, component)`` of every set."""
     spark = docs.sparkSession
@@ -472,15 +482,13 @@ def _components(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, Dat
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), own_text.alias("text"), F.xxhash64(own_text).alias("version"))
     got = _Candidates(docs, space)
     link = "a long, b long"
-    links = spark.createDataFrame([], link)
     label = spark.createDataFrame([], "node long, component long")
     if not got.sizes.isEmpty():
         blocked = got.blocked()
         every = F.sequence(F.lit(0), F.col("blocks") - 1)
         visits = blocked.withColumn("block", F.explode(F.when(F.col("pivot") & (F.col("blocks") > 1), every).otherwise(F.array("block"))))
         inside = visits.select("grp", "block", "node", F.lit(False).alias("driver")).join(got.shingled, "node").groupBy("grp", "block").applyInArrow(_forest, link)
-        links = space.save(inside, "inside")
-        label = components(space, links, "inside")
+        label = components(space, space.save(inside, "inside"), "inside")
         many = _labelled(blocked.where("blocks > 1").select("grp", "block", "blocks", "node"), label)
         many = space.save(many, "many")
         parts = many.groupBy("grp", "component").agg(F.count("*").alias("size"))
@@ -492,8 +500,7 @@ def _components(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, Dat
             drivers = opened.where("component <> main").select("grp", out_block, F.explode(every).alias("block"), "node", "component", F.lit(True).alias("driver"))
             targets = opened.select("grp", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("out_block"), "block", "node", "component", F.lit(False).alias("driver"))
             far = drivers.union(targets).join(got.shingled, "node").groupBy("grp", "out_block", "block").applyInArrow(_across, link)
-            links = links.union(space.save(far, "far"))
-            label = components(space, links, "far")
+            label = _joined(space, label, space.save(far, "far"), "far")
     # Pairs of small groups, for each set its nearest partner first.
     nearest = got.pairs.groupBy("b").agg(F.min(F.struct("far", "a")).alias("best")).select("best.a", "b")
     for turn, pairs in enumerate((nearest, got.pairs.select("a", "b"))):
@@ -501,8 +508,7 @@ def _components(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, Dat
         pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
         pairs = space.save(pairs, f"pairs-{turn}")
         if not pairs.isEmpty():
-            links = links.union(got.verified(pairs, f"links-{turn}"))
-            label = components(space, links, f"pairs-{turn}")
+            label = _joined(space, label, got.verified(pairs, f"links-{turn}"), f"pairs-{turn}")
     return got.rows, _labelled(got.sets.select("node", "set_key", "doc"), label), space
 
 

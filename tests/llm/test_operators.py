@@ -557,6 +557,62 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+class Counted(Workspace):
+    """A workspace that knows how many rows each of its tables got."""
+
+    def save(self, df, name, partition_by=None):
+        out = super().save(df, name, partition_by)
+        self.rows = {**getattr(self, "rows", {}), name: out.count()}
+        return out
+
+
+def test_components_contract(spark):
+    """Edges inside a component are read once; what is left are edges between components."""
+    rng = random.Random(3)
+    cliques = [(100 * c + i, 100 * c + j) for c in range(4) for i in range(20) for j in range(i)]
+    bridges = [(100 * c + 19, 100 * c + 119) for c in range(3)]
+    space = Counted(spark, "test")
+    edges = rng.sample(cliques + bridges, len(cliques + bridges))
+    got = {r["node"]: r["component"] for r in components(space, spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    assert got == {100 * c + i: 0 for c in range(4) for i in range(20)}
+    read = sum(n for name, n in space.rows.items() if "edges" in name)
+    assert read <= len(edges) + 10 and space.rows["t-edges-1"] <= 3
+    nodes = rng.sample(range(10_000), 300)
+    edges = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(260)]
+    least = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in nodes:
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert {r["node"]: r["component"] for r in components(Workspace(spark, "test"), spark.createDataFrame(edges, "a long, b long"), "t").collect()} == least
+
+
+def test_sketch_join_reads_each_link_once(spark, monkeypatch):
+    """Later steps look for components over the components so far, not over the links inside them."""
+    monkeypatch.setattr(sketch_join, "GROUP_BLOCK", 7)
+    given = []
+
+    def spied(space, edges, label):
+        given.append((label, edges.count()))
+        return components(space, edges, label)
+
+    monkeypatch.setattr(sketch_join, "components", spied)
+    rng = random.Random(7)
+    texts = []
+    for i in range(60):  # one large group of near copies, and pairs that only small groups find
+        own = [f"w{j}" for j in range(120)]
+        for _ in range(rng.choice((1, 2, 3))):
+            own[rng.randrange(120)] = f"x{rng.randrange(999)}"
+        texts.append((i, " ".join(own)))
+    for i in range(60, 80, 2):
+        own = words(rng, 90)
+        texts += [(i, own), (i + 1, own + " more")]
+    got = {i: (r["n_shingles"], r["component_id"]) for i, r in table(sketch_join.sketch_join(spark.createDataFrame(texts, "doc_id long, text string"))).items()}
+    assert got == brute.components(texts)
+    assert given[0][0] == "inside" and given[0][1] > 50
+    assert all(n <= 30 for _, n in given[1:]) and len(given) > 1
+
+
 def test_ordered(spark):
     values = [5, 3, 3, 9, None, 1, 7]
     frame = spark.createDataFrame([(v, 10 + i) for i, v in enumerate(values)], "k long, v long").repartition(4)
